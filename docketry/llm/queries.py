@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import lookalikes, mixing, packing, tokens
+from docketry.llm import lookalikes, mixing, packing, scans, tokens
 from docketry.plans.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.line_defects(table(spark, folder, "page_results"), table(spark, folder, "extraction_results"))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired_paragraphs(table(spark, folder, "page_results"), table(spark, folder, "extraction_results"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     sizes = tokens.document_sizes(table(spark, folder, "documents"))
     return packing.pack(sizes, table(spark, folder, "containers"))
@@ -48,6 +56,7 @@ def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_paragraphs": p3_paragraphs,
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_order": p8_order, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_canonical": p9_canonical, "p9_classes": p9_classes,
 }
