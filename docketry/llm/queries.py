@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import lookalikes, mixing, packing, personal, scans, tokens
+from docketry.llm import lookalikes, mixing, packing, parties, personal, scans, tokens
 from docketry.plans.tables import table
 
 
@@ -24,6 +24,14 @@ def p4_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
     return personal.scrubbed_texts(table(spark, folder, "call_log"), table(spark, folder, "extraction_results"), b"docketry")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return parties.party_pairs(table(spark, folder, "entities"), table(spark, folder, "call_log"))
+
+
+def p6_parties(spark: SparkSession, folder: str) -> DataFrame:
+    return parties.party_members(table(spark, folder, "entities"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     sizes = tokens.document_sizes(table(spark, folder, "documents"))
     return packing.pack(sizes, table(spark, folder, "containers"))
@@ -64,7 +72,7 @@ def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_scrubbed": p4_scrubbed, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs,
+    "p4_found": p4_found, "p4_scrubbed": p4_scrubbed, "p6_found": p6_found, "p6_parties": p6_parties, "p3_found": p3_found, "p3_paragraphs": p3_paragraphs,
     "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_order": p8_order, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_canonical": p9_canonical, "p9_classes": p9_classes,
 }
