@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,17 +70,23 @@ def quality(text: Column) -> Column:
     return F.when(F.size(tokens(text)) > 0, word_shape(text) + english_share(text)).otherwise(F.lit(0.0))
 
 
+def f1(left: str | None, right: str | None) -> float:
+    a, b = (left or "").split(), (right or "").split()
+    if not a and not b:
+        return 1.0
+    return 2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b))
+
+
+def _f1_all(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([f1(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
 def token_f1(left: Column, right: Column) -> Column:
-    """Token F1 of two texts as multisets, inside the row: 1 for two empty texts, 0 for one.
+    """Token F1 of two texts as multisets: 1 for two empty texts, 0 for one; null counts as empty.
 
-    Both token lists are sorted and counted as maps, so nothing is shuffled.
+    Counting inside the row in Arrow batches spares the shuffle of all tokens that a join of token counts takes.
     """
-    a, b = tokens(left), tokens(right)
-    counted = lambda t: F.map_from_entries(F.transform(F.array_distinct(t), lambda x: F.struct(x, F.size(F.filter(t, lambda y: y == x)))))
-    ca, cb = counted(a), counted(b)
-    overlap = F.aggregate(F.map_keys(ca), F.lit(0), lambda acc, k: acc + F.least(F.element_at(ca, k), F.coalesce(F.try_element_at(cb, k), F.lit(0))))
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * overlap / both)
+    return F.pandas_udf(_f1_all, "double")(left, right)
 
 
 def html_is_empty(chars: Column, raw_len: Column, *, least: int = 200, ratio: float = 10.0) -> Column:

@@ -52,6 +52,10 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def _party(addresses: Column, wanted: str) -> Column:
+    return F.exists(addresses, lambda a: F.endswith(a, F.lit(wanted)) if wanted.startswith("@") else a == wanted)
+
+
 def message_predicate(cfg: dict, *, addresses: Column, subject: Column, body: Column, headers: Column, day: Column) -> Column:
     """A configuration as one condition: every key given must hold, any of its values is enough; an empty one is true.
 
@@ -60,7 +64,7 @@ def message_predicate(cfg: dict, *, addresses: Column, subject: Column, body: Co
     """
     out = F.lit(True)
     if v := cfg.get("parties"):
-        out &= any_of([F.exists(addresses, lambda a, p=p.lower(): F.endswith(a, F.lit(p)) if p.startswith("@") else a == p) for p in v])
+        out &= any_of([_party(addresses, p.lower()) for p in v])
     for key, col in (("subject", subject), ("body", body)):
         if v := cfg.get(key):
             out &= F.coalesce(any_of([col.rlike("(?iU)" + p) for p in v]), F.lit(False))

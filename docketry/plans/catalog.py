@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.plans import training
+from docketry.plans import evidence, training
 
-QUERIES = {**training.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**training.QUERIES, **evidence.QUERIES}
+SQL: dict[str, str] = {**training.SQL, **evidence.SQL}

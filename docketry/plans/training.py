@@ -57,3 +57,16 @@ def p5_once(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_once": p5_once}
+
+_IDENT = r"""nullif(regexp_replace(message_id, '^[\s<]+|[\s>]+$', '', 'g'), '')"""
+_ONE = """SELECT '{t}' AS src, {k} AS row_id, {extra} regexp_replace(i, '@[^@]*$', '') || lower(coalesce(regexp_extract(i, '@[^@]*$'), '')) AS ident, delivered_at, {k} AS key FROM (SELECT *, {i} AS i FROM {t})"""
+
+
+def _deliveries(extra: str) -> str:
+    return " UNION ALL ".join(_ONE.format(t=t, k=k, i=_IDENT, extra=extra) for t, k in MESSAGES)
+
+
+SQL: dict[str, str] = {
+    "p5_found": f"SELECT src, row_id FROM ({_deliveries('')}) WHERE ident IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src, ident ORDER BY delivered_at, key) > 1",
+    "p5_once": f"SELECT src, row_id, case_id, ident AS message_id FROM ({_deliveries('case_id,')}) QUALIFY ident IS NULL OR row_number() OVER (PARTITION BY src, ident ORDER BY delivered_at, key) = 1",
+}
