@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from docketry.runtime import materialize
 
 
-def thread_roots(edges: DataFrame, *, node: str, parent: str, rounds: int = 64) -> DataFrame:
-    """(node, root) by pointer doubling: a chain of length n takes log2(n) joins.
+def thread_roots(edges: DataFrame, *, node: str, parent: str) -> DataFrame:
+    """(node, root) by pointer doubling: chains of up to n nodes take log2(n) joins.
 
-    Null, empty or unknown parents end a chain (an unknown parent is the root). Nodes that only lead into
-    a cycle take the cycle's smallest node as root.
+    Null and empty parents end a chain; an unknown parent is the root. Nodes on a cycle, or leading into
+    one, take the cycle's smallest node. A repeated node keeps its smallest parent.
     """
-    ptr = edges.groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("to"))
-    ptr = materialize(ptr.select("node", F.coalesce(F.nullif(F.col("to").cast("string"), F.lit("")).cast(dict(edges.dtypes)[node]), F.col("node")).alias("to"), F.least("node", F.coalesce("to", "node")).alias("low")))
-    for _ in range(rounds):
+    kind = dict(edges.dtypes)[node]
+    up = edges.groupBy(F.col(node).alias("node")).agg(F.min(F.nullif(F.col(parent).cast("string"), F.lit("")).cast(kind)).alias("up"))
+    first = up.select("node", F.coalesce("up", "node").alias("to"), F.least("node", "up").alias("low"), (F.col("up").isNull() | (F.col("up") == F.col("node"))).alias("own"))
+    ptr = materialize(first)
+    for _ in range(max(1, ptr.count()).bit_length() + 1):
         nxt = ptr.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        step = materialize(ptr.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.coalesce("to2", "to") != F.col("to")).alias("moved"), F.col("to").alias("was")))
+        step = ptr.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), F.least("low", "low2").alias("low"), "own", (F.coalesce("to2", "to") != F.col("to")).alias("moved"))
+        step = materialize(step)
+        ptr = step.drop("moved")
         if not step.where("moved").head(1):
-            return step.select("node", F.col("to").alias("root"))
-        ptr = step.select("node", "to", "low")
-    # what still moves runs round a cycle
-    ends = ptr.select(F.col("node").alias("to"), F.col("to").alias("again"), F.col("low").alias("low2"))
-    done = ptr.join(ends, "to", "left")
-    return done.select("node", F.when(F.col("again").isNull() | (F.col("again") == F.col("to")), F.col("to")).otherwise(F.least("low", "low2")).alias("root"))
+            break
+    ends = ptr.select(F.col("node").alias("to"), F.col("low").alias("low2"), F.col("own").alias("own2"))
+    return ptr.join(ends, "to", "left").select("node", F.when(F.coalesce("own2", F.lit(True)), F.col("to")).otherwise(F.col("low2")).alias("root"))
 
 
 def thread_catalog(comments: DataFrame, *, root: str, order: list[str], author: str, text: str, me: str, skip: str = "[skip — ", substantive: int = 80) -> DataFrame:
