@@ -26,6 +26,8 @@ _HYPHEN = "-‐‑­¬"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BROKEN = re.compile(rf"([^\W\d_�!@|05)]+)[{_HYPHEN}][ \t]*$")
 _TWINS = {ord(v): k for t in (CYRILLIC_TWINS, GREEK_TWINS) for k, v in t.items()}
+_EDGE = ".,;:()[]\"'?<>“”‘’…*"
+_LINE_END = re.compile(rf"(\S*[\w�!@|)])[{_HYPHEN}]$")
 _PAGE_NO = re.compile(r"^[\W_]*(?:(?:page|pg|p)\.?\s*)?[\divxlo]{1,6}(?:\s*(?:of|/)\s*[\dlio]{1,5})?[\W_]*$", re.I)
 _STRONG_NO = re.compile(r"^\s*(?:-\s*[\dlIO]{1,5}\s*-|page\s+[\dlIOo]{1,5}(?:\s+of\s+[\dlIOo]{1,5})?)\s*$", re.I)
 _STAMP_NO = re.compile(r"^\s*[A-Z]{2,4}[\dOlIS�]{5,9}\s*$")
@@ -59,7 +61,7 @@ class Reader:
     """Decodes lines with a lexicon of counts; results for tokens are kept."""
 
     def __init__(self, lexicon: dict[str, int], furniture: set[str]):
-        self.lexicon, self.furniture, self.known = lexicon, furniture, {}
+        self.lexicon, self.furniture, self.known, self.judged = lexicon, furniture, {}, {}
         self.total = max(1, sum(lexicon.values()))
         self.by_length: dict[int, list[str]] = {}
         for f in furniture:
@@ -144,10 +146,18 @@ class Reader:
         return best
 
     def wrong(self, token: str) -> bool:
-        """Whether a token holds a character that is not what the paper says."""
+        """Whether a token holds a character that is not what the paper says; answers are kept."""
+        got = self.judged.get(token)
+        if got is None:
+            if len(self.judged) > 300_000:
+                self.judged.clear()
+            got = self.judged[token] = self._wrong(token)
+        return got
+
+    def _wrong(self, token: str) -> bool:
         if "�" in token or "cid:" in token:
             return True
-        core = token.strip(".,;:()[]\"'?<>“”‘’…*")
+        core = token.strip(_EDGE)
         if not core or core == "|":
             return False
         if not core.isascii() and any(ord(c) in _TWINS for c in core) and any("a" <= c.lower() <= "z" for c in core):
@@ -165,6 +175,69 @@ class Reader:
             return any(self.meant(p) != p.lower() for p in core.split("-")) and own < 30
         return any(self.meant(p) != p.lower() for p in re.split(r"[-/'’]|—", core) if len(p) > 1 and p.isalpha())
 
+    # stream --------------------------------------------------------------------------------------
+
+    def _cost(self, word: str) -> float:
+        return -math.log((self.lexicon.get(word.lower(), 0) + 0.01) / self.total)
+
+    def _single(self, core: str) -> float:
+        if self.count(core) >= 3 or not core.isalpha():
+            return self._cost(core)
+        meant = self.meant(core)
+        return self._cost(meant) + 4 if meant != core.lower() else 16.0
+
+    def segment(self, tokens: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
+        """Segmentation of a stream of (token, line) into (kind, first token, end).
+
+        Kinds: ``word``, one token as one word; ``join``, a word broken at a line's end; ``keep``, a word with
+        a hyphen of its own at a line's end; ``merge``, one word with a blank too many; ``split``, two words
+        with a blank too few. Known words are certain, so the search (Viterbi under word costs, a confusion
+        costs 4) runs over the stretches of tokens between them.
+        """
+        n, out, i = len(tokens), [], 0
+        cores = [t.strip(_EDGE) for t, _ in tokens]
+        ends = [k + 1 < n and tokens[k + 1][1] != tokens[k][1] and bool(_LINE_END.search(tokens[k][0])) for k in range(n)]
+
+        def doubtful(k: int) -> bool:
+            return ends[k] or cores[k].isalpha() and self.count(cores[k]) < 3
+
+        while i < n:
+            if not doubtful(i):
+                out.append(("word", i, i + 1))
+                i += 1
+                continue
+            j = i
+            while j < n and doubtful(j):
+                j += 1
+            hi = min(n, j + 1)
+            best: list[tuple[float, int, str]] = [(0.0, i, "")] + [(math.inf, i, "")] * (hi - i)
+
+            def arc(a: int, b: int, cost: float, kind: str, i=i, best=best) -> None:
+                if best[a - i][0] + cost < best[b - i][0]:
+                    best[b - i] = (best[a - i][0] + cost, a, kind)
+
+            for k in range(i, hi):
+                core = cores[k]
+                if ends[k] and k + 1 < hi:
+                    arc(k, k + 2, 0.0, "join" if self.breaks(_LINE_END.search(tokens[k][0])[1], tokens[k + 1][0]) else "keep")
+                    continue
+                arc(k, k + 1, self._single(core), "word")
+                if core.isalpha() and self.count(core) < 3:
+                    for c in range(2, len(core) - 1):
+                        if self.count(core[:c]) >= 20 and self.count(core[c:]) >= 20:
+                            arc(k, k + 1, self._cost(core[:c]) + self._cost(core[c:]) + 4, "split")
+                if k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and tokens[k][0] == core and core.isalpha() and cores[k + 1].isalpha() and (self.count(core) < 3 or self.count(cores[k + 1]) < 3):
+                    if self.count(core + cores[k + 1]) >= 20:
+                        arc(k, k + 2, self._cost(core + cores[k + 1]) + 4, "merge")
+            path, e = [], hi
+            while e > i:
+                _, b, kind = best[e - i]
+                path.append((kind, b, e))
+                e = b
+            out += reversed(path)
+            i = hi
+        return out
+
     # lines ---------------------------------------------------------------------------------------
 
     def breaks(self, head: str, tail: str) -> bool:
@@ -197,32 +270,28 @@ class Reader:
             follow = after.split("\n")
             skip = self.running(follow, pages)
             rest = next((x for i, x in enumerate(follow) if x.strip() and i not in skip), None)
-        joined_from_before = None
-        for k, i in enumerate(body):
-            s = lines[i]
-            tokens = s.split()
-            nxt = lines[body[k + 1]] if k + 1 < len(body) else rest
-            m = re.search(rf"(\S*[\w�!@|)])[{_HYPHEN}][ \t]*$", s)
-            broken = bool(m and nxt and (nxt.split() or [""])[0] and self.breaks(m[1], nxt.split()[0])) or bool(m and not nxt and self.breaks(m[1], "x"))
-            bad = False
-            if joined_from_before and tokens:
-                bad |= self._part_wrong(joined_from_before, tokens[0], second=True)
-                tokens = tokens[1:]
-            joined_from_before = None
-            if broken and tokens:
-                head = m[1]
-                tokens = tokens[:-1]
-                if nxt:
-                    bad |= self._part_wrong(head, nxt.split()[0], second=False)
-                    joined_from_before = head
-                else:
-                    bad |= "�" in head or "cid:" in head
-            elif m and tokens:
-                tokens[-1] = tokens[-1].rstrip(_HYPHEN)
-            if bad or any(self.wrong(t) for t in tokens):
-                out.append((i + 1, "misread"))
-            if broken:
-                out.append((i + 1, "hyphen"))
+        stream = [(t, i) for i in body for t in lines[i].split()]
+        if rest and rest.split():
+            stream.append((rest.split()[0], -1))
+        broken, misread = set(), set()
+        for kind, b, e in self.segment(stream):
+            token, line = stream[b]
+            if kind == "join":
+                head, tail = _LINE_END.search(token)[1], stream[b + 1]
+                broken.add(line)
+                if self._part_wrong(head, tail[0], second=False):
+                    misread.add(line)
+                if self._part_wrong(head, tail[0], second=True):
+                    misread.add(tail[1])
+            elif kind == "merge":
+                misread.add(line)
+            elif kind != "split":
+                for t, at in stream[b:e]:
+                    if self.wrong(t.rstrip(_HYPHEN) if t.rstrip(_HYPHEN) else t):
+                        misread.add(at)
+        if stream and stream[-1][1] >= 0 and (m := _LINE_END.search(stream[-1][0])) and self.breaks(m[1], "x"):
+            broken.add(stream[-1][1])  # the rest is on a page that is not there
+        out += [(i + 1, "misread") for i in sorted(misread) if i >= 0] + [(i + 1, "hyphen") for i in sorted(broken)]
         return out
 
     def _part_wrong(self, head: str, tail: str, second: bool) -> bool:
@@ -242,7 +311,7 @@ class Reader:
     # paragraphs ----------------------------------------------------------------------------------
 
     def repair_token(self, token: str) -> str:
-        core = token.strip(".,;:()[]\"'?<>“”‘’…*")
+        core = token.strip(_EDGE)
         if not core or not self.wrong(token) or "�" in core or "cid:" in core:
             return token
         fixed = self.meant(core.translate(_TWINS))
@@ -280,21 +349,22 @@ class Reader:
             e = back[e]
         out = []
         for s, e in reversed(spans):
+            stream = [(t, body[k]) for k in range(s, e) for t in lines[body[k]].split()]
             words: list[str] = []
-            glue = False
-            for k in range(s, e):
-                x = lines[body[k]].rstrip()
-                tokens = x.split()
-                if glue and words and tokens:
-                    words[-1] = self.repair_token(words[-1] + tokens[0])
-                    tokens = tokens[1:]
-                m = re.search(rf"(\S*\w)[{_HYPHEN}]$", x)
-                glue = False
-                if m and k + 1 < e and tokens and (nxt := lines[body[k + 1]].split()):
-                    if self.breaks(m[1], nxt[0]):
-                        tokens[-1] = tokens[-1][:-1]
-                    glue = True
-                words += [t if glue and j == len(tokens) - 1 else self.repair_token(t) for j, t in enumerate(tokens)]
+            for kind, b, f in self.segment(stream):
+                t = stream[b][0]
+                if kind == "join":
+                    words.append(self.repair_token(_LINE_END.search(t)[1] + stream[b + 1][0]))
+                elif kind == "keep":
+                    words.append(self.repair_token(t + stream[b + 1][0]))
+                elif kind == "merge":
+                    words.append(t + stream[b + 1][0])
+                elif kind == "split":
+                    core = t.strip(_EDGE)
+                    c = min((c for c in range(2, len(core) - 1) if self.count(core[:c]) >= 20 and self.count(core[c:]) >= 20), key=lambda c: self._cost(core[:c]) + self._cost(core[c:]))
+                    words.append(t.replace(core, f"{core[:c]} {core[c:]}", 1))
+                else:
+                    words.append(self.repair_token(t))
             out.append(" ".join(words))
         return out
 
