@@ -66,23 +66,39 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_first_table())).translate(_TO_LATIN)
 
 
-def pair_counts(texts) -> Counter:
-    """Pairs of neighbouring base letters, with word ends, over words of one script."""
+_ASCII_WORDS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+_OTHER_SCRIPTS = re.compile("[Ͱ-ԯἀ-῿]")
+
+
+def words_of(texts) -> Counter:
+    """Words of texts, each with its number."""
     words: Counter = Counter()
     for t in texts:
-        if t:
-            t = t if t.isascii() else unicodedata.normalize("NFD", t.translate(_first_table()))
-            words.update(_LETTERS.findall(t))
+        if not t:
+            continue
+        if t.isascii():
+            words.update(t.encode().translate(_ASCII_WORDS).lower().split())
+        else:
+            words.update(_LETTERS.findall(unicodedata.normalize("NFD", t.translate(_first_table()))))
+    return words
+
+
+def pairs_of(words: Counter) -> Counter:
+    """Pairs of neighbouring base letters, with word ends, over words of one script that hold a letter of no other look."""
     pairs: Counter = Counter()
     for w, n in words.items():
-        w = re.sub("[̀-ͯ]", "", w).lower()
+        w = w.decode() if isinstance(w, bytes) else re.sub("[̀-ͯ]", "", w).lower()
         kinds = {script_of(c) for c in w}
-        if len(kinds) == 1 and (k := kinds.pop()) is not None:
+        if len(kinds) == 1 and (k := kinds.pop()) is not None and any(c not in _OPTIONS and ord(c) not in _TO_LATIN for c in w):
             for a, b in zip("^" + w, w + "$"):
                 pairs[(k, a + b)] += n
     return pairs
 
 
+def pair_counts(texts) -> Counter:
+    return pairs_of(words_of(texts))
+
+
 def script_model(docs: DataFrame, text: str = "text") -> dict[tuple[int, str], float]:
     """Log probabilities of letter pairs by script, counted over all texts.
 
@@ -91,9 +107,13 @@ def script_model(docs: DataFrame, text: str = "text") -> dict[tuple[int, str], f
     """
 
     def count(batches):
-        total: Counter = Counter()
+        total, words = Counter(), Counter()
         for b in batches:
-            total.update(pair_counts(b.iloc[:, 0]))
+            words.update(words_of(b.iloc[:, 0]))
+            if len(words) > 100_000:
+                total.update(pairs_of(words))
+                words.clear()
+        total.update(pairs_of(words))
         import pandas as pd
 
         yield pd.DataFrame({"script": [k for k, _ in total], "pair": [p for _, p in total], "n": list(total.values())}).astype({"script": "int64", "n": "int64", "pair": "str"})
@@ -139,9 +159,17 @@ class Decoder:
         return end[2]
 
     def canonical(self, text: str) -> str:
-        """The canonical form of a text; equal for two texts exactly if their skeletons are equal."""
+        """The canonical form of a text; equal for two texts exactly if their skeletons are equal.
+
+        A skeleton without letters of other scripts has the Latin spelling as its one script-consistent
+        path through all lattices; every other text is searched word by word.
+        """
         s = skeleton(text)
-        plain = Counter(script_of(c) for c in set(s) if c not in _OPTIONS and c.isalpha())
+        if s.isascii():
+            return s
+        if not _OTHER_SCRIPTS.search(s):
+            return unicodedata.normalize("NFC", s)
+        plain = Counter(script_of(c) for c in s if c not in _OPTIONS and c.isalpha())
         home = max(range(3), key=lambda k: (plain.get(k, 0), -k))
         return unicodedata.normalize("NFC", _LETTERS.sub(lambda m: self.word(m[0], home), s))
 
