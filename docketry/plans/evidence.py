@@ -415,3 +415,74 @@ def q38_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     from docketry.streaming.ingest import daily_counts
 
     return daily_counts(table(spark, d, "events")).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+# lookups -----------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT entry_id, regexp_replace(regexp_replace(path, '^((?:[^/]*/)*?)(?:raw|readable|structured|human)(/|$)', '\1structured\2'), '\.[^./]*$', '.json') AS sibling,
+ path = 'evidence/emails' OR starts_with(path, 'evidence/emails/') AS protected FROM snapshot_entries""")
+def q39_sibling_paths(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import sibling, under
+
+    p = F.col("path")
+    return table(spark, d, "snapshot_entries").select("entry_id", sibling(p, "structured", ".json").alias("sibling"), under(p, ["evidence/emails/"]).alias("protected"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'closed' WHEN l_returnflag = 'R' THEN 'returned' WHEN l_linestatus = 'O' THEN 'open' ELSE 'other' END AS role FROM lineitem""")
+def q40_role_lookup(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import role_of
+
+    rules_ = [{"author": "A", "initials": "F", "role": "closed"}, {"role": "never"}, {"author": "R", "role": "returned"}, {"initials": "O", "role": "open"}]
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", role_of(F.col("l_returnflag"), F.col("l_linestatus"), rules_, "other").alias("role"))
+
+
+@query("""
+WITH dir AS (SELECT p_brand AS brand, p_type AS kind, min(p_partkey) AS part FROM part WHERE p_size > 25 GROUP BY ALL), every AS (SELECT p_brand AS brand, min(p_partkey) AS part FROM part GROUP BY 1)
+SELECT p_partkey, coalesce(dir.part, every.part) AS part FROM part LEFT JOIN dir ON dir.brand = p_brand AND dir.kind = p_type LEFT JOIN every ON every.brand = p_brand""")
+def q41_wildcard_directory(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import with_fallback
+
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), "p_size")
+    exact = p.where(F.col("p_size") > 25).groupBy("brand", "kind").agg(F.min("p_partkey").alias("part"))
+    every = p.groupBy("brand").agg(F.min("p_partkey").alias("part")).select("brand", F.lit("*").alias("kind"), "part")
+    return with_fallback(p, exact.unionByName(every), on="brand", scope="kind", value="part").select("p_partkey", "part")
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 24)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS s0 FROM documents), t AS (SELECT doc_id, coalesce(nullif(regexp_replace(s0, '-+$', ''), ''), 'ref') AS slug FROM s)
+SELECT doc_id, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS unique_slug FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS n FROM t)""")
+def q42_unique_slugs(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import unique_slugs
+
+    docs = table(spark, d, "documents").select("doc_id", text.citation_slug(F.left("text", F.lit(24))).alias("slug"))
+    return unique_slugs(docs, "slug", ["doc_id"]).select("doc_id", "unique_slug")
+
+
+@query("SELECT delivery_id, CASE WHEN lower(trim(s)) IN ('emails', 'letters') THEN lower(trim(s)) WHEN s = '' THEN s WHEN starts_with(lower(trim(s)), 'emails') OR starts_with('emails', lower(trim(s))) THEN 'emails' WHEN starts_with(lower(trim(s)), 'letters') OR starts_with('letters', lower(trim(s))) THEN 'letters' ELSE s END AS kind FROM (SELECT delivery_id, left('Emails folder', CAST(delivery_id % 14 AS INTEGER)) AS s FROM correspondence)")
+def q43_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import fuzzy_name
+
+    s = F.left(F.lit("Emails folder"), (F.col("delivery_id") % 14).cast("int"))
+    return table(spark, d, "correspondence").select("delivery_id", fuzzy_name(s, ["emails", "letters"]).alias("kind"))
+
+
+@query("SELECT extraction_id, source_type, string_agg(path, ',' ORDER BY path) AS paths, count(*) AS n FROM (SELECT DISTINCT extraction_id % 20 AS extraction_id, method AS source_type, path FROM extraction_results) GROUP BY ALL")
+def q44_recorded_inputs(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "extraction_results").select((F.col("extraction_id") % 20).alias("extraction_id"), F.col("method").alias("source_type"), "path")
+    return r.groupBy("extraction_id", "source_type").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"), F.count_distinct("path").alias("n"))
+
+
+@query("""
+SELECT a.delivery_id AS left_id, b.delivery_id AS right_id, concat_ws(',', CASE WHEN a.subject <> '' AND b.subject <> '' AND a.subject <> b.subject THEN 'subject' END, CASE WHEN a.from_addr <> '' AND b.from_addr <> '' AND a.from_addr <> b.from_addr THEN 'from_addr' END, CASE WHEN a.to_addr <> '' AND b.to_addr <> '' AND a.to_addr <> b.to_addr THEN 'to_addr' END) AS fields
+FROM correspondence a JOIN correspondence b ON b.delivery_id = a.delivery_id + 1""")
+def q45_conflict_fields(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import conflicts
+
+    c, fields = table(spark, d, "correspondence"), ["subject", "from_addr", "to_addr"]
+    left = c.select(F.col("delivery_id").alias("left_id"), (F.col("delivery_id") + 1).alias("right_id"), *[F.col(f).alias("local_" + f) for f in fields])
+    right = c.select(F.col("delivery_id").alias("right_id"), *[F.col(f).alias("web_" + f) for f in fields])
+    pairs = left.join(right, "right_id")
+    return pairs.select("left_id", "right_id", conflicts(pairs, fields).alias("fields"))
