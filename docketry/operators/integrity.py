@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.runtime import ranged
+
 
 def hash_manifest(df: DataFrame, path: str, content: str) -> DataFrame:
     """(path, sha256, source_id): content hash of every row and its first 16 digits. Null content has no hash."""
@@ -51,11 +53,23 @@ def stale(recorded: DataFrame, current: DataFrame, *, widget: str = "widget", pa
 
 
 def change_trail(df: DataFrame, *, path: str, order: list[str], blob: str) -> DataFrame:
-    """Add change_type: initial until a blob was seen, then content where the blob differs from the last one seen, else rename-or-metadata."""
-    w = Window.partitionBy(path).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(blob, ignorenulls=True).over(w)
-    kind = F.when(F.col("_before").isNull(), "initial").when(F.col(blob).eqNullSafe(F.col("_before")), "rename-or-metadata").otherwise("content")
-    return df.withColumn("_before", before).withColumn("change_type", kind).drop("_before")
+    """Add change_type: initial until a blob was seen, then content where the blob differs from the last one seen, else rename-or-metadata.
+
+    Histories are cut into ranges; what a range has to know of those before it is the last blob seen,
+    one row per path and range, so a path with a very long history is spread over many tasks. Null paths
+    form one history.
+    """
+    packed = df.select(F.struct("*").alias("_row"), F.col(path).alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(blob).alias("_b"))
+    keys = [f"_o{i}" for i in range(len(order))]
+    cut = ranged(packed, ["_k"], keys)
+    inner = Window.partitionBy("_k", "_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    lasts = cut.groupBy("_k", "_part").agg(F.max_by("_b", F.when(F.col("_b").isNotNull(), F.struct(*keys))).alias("_last"))
+    earlier = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = lasts.select(F.col("_k").alias("_hk"), F.col("_part").alias("_hp"), F.last("_last", ignorenulls=True).over(earlier).alias("_head"))
+    joined = cut.withColumn("_in", F.last("_b", ignorenulls=True).over(inner)).join(heads, F.col("_k").eqNullSafe(F.col("_hk")) & (F.col("_part") == F.col("_hp")))
+    before = F.coalesce("_in", "_head")
+    kind = F.when(before.isNull(), "initial").when(F.col("_b").eqNullSafe(before), "rename-or-metadata").otherwise("content")
+    return joined.select("_row.*", kind.alias("change_type"))
 
 
 def verdict(warnings: Column, *, worst_wins: bool = False) -> Column:

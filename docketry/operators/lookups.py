@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.runtime import checked_join
+from docketry.runtime import checked_join, rank_in_group
 
 
 def sibling(path: Column, layer: str, suffix: str | None = None) -> Column:
@@ -59,9 +59,10 @@ def conflicts(pairs: DataFrame, fields: list[str], *, left: str = "local_", righ
 
 
 def unique_slugs(df: DataFrame, slug: str, order: list[str], out: str = "unique_slug") -> DataFrame:
-    """Add the slug with -2, -3 and so on from its second use on, in the order given."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn("_i", n).withColumn(out, F.when(F.col("_i") > 1, F.concat(slug, F.lit("-"), F.col("_i").cast("string"))).otherwise(F.col(slug))).drop("_i")
+    """Add the slug with -2, -3 and so on from its second use on, in the order given; null stays null."""
+    numbered = rank_in_group(df, [slug], order, "_use")
+    name = F.when(F.col("_use") > 1, F.concat(slug, F.lit("-"), F.col("_use").cast("string"))).otherwise(F.col(slug))
+    return numbered.select(*df.columns, name.alias(out))
 
 
 def snippet(text: Column, length: int = 80) -> Column:

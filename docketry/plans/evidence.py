@@ -326,10 +326,10 @@ def q28_entity_drilldown(spark: SparkSession, d: str) -> DataFrame:
 WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY marker_date NULLS FIRST, kind, title, marker_id) - 1 AS i FROM timeline_markers)
 SELECT marker_id, track, i AS idx FROM ranked""")
 def q28_track_index(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from docketry.runtime import rank_in_group
 
-    w = Window.partitionBy("track").orderBy(F.col("marker_date").asc_nulls_first(), "kind", "title", "marker_id")
-    return table(spark, d, "timeline_markers").select("marker_id", "track", (F.row_number().over(w) - 1).cast("bigint").alias("idx"))
+    m = table(spark, d, "timeline_markers").select("marker_id", "track", "marker_date", "kind", "title")
+    return rank_in_group(m, ["track"], ["marker_date", "kind", "title", "marker_id"], "n").select("marker_id", "track", (F.col("n") - 1).alias("idx"))
 
 
 # values ------------------------------------------------------------------------------------------
@@ -375,8 +375,10 @@ def q33_basename_history(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     s = table(spark, d, "snapshot_entries").select("entry_id", "case_id", "snapshot_no", text.basename(F.col("path")).alias("name"))
-    w = Window.partitionBy("case_id", "name").orderBy("snapshot_no").rangeBetween(Window.unboundedPreceding, -1)
-    return s.select("entry_id", F.count("*").over(w).alias("seen")).where(F.col("seen") > 0)
+    per = s.groupBy("case_id", "name", "snapshot_no").agg(F.count("*").alias("n"))  # a name has a few snapshots, however many rows
+    w = Window.partitionBy("case_id", "name").orderBy("snapshot_no").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("seen", F.sum("n").over(w)).where(F.col("seen") > 0).drop("n")
+    return s.join(per, ["case_id", "name", "snapshot_no"]).select("entry_id", "seen")
 
 
 @query("""

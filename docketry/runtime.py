@@ -64,3 +64,27 @@ def prefix_sums(
     rows = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
     joined = rows.join(heads.drop("_s"), [*groups, "_b"])
     return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_h", "_b", "_v", "_in", "_base")
+
+
+def ranged(df: DataFrame, groups: list[str], order: list[str], out: str = "_part") -> DataFrame:
+    """``df`` cut into ranges of (groups, order) that follow one another, with the range's number in ``out``.
+
+    A group of any size lies in as many ranges as its share of the rows asks for. Rows are written to the
+    checkpoint folder, so that the cut is the same for every later reader. Ties may lie in two ranges, so
+    ``order`` should tell all rows of a group apart.
+    """
+    return materialize(df.repartitionByRange(*groups, *order).withColumn(out, F.spark_partition_id()))
+
+
+def rank_in_group(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Position from 1 in each group by ``order``: counted inside ranges, whose heads are added up on a table of groups x ranges."""
+    cut = ranged(df, groups, order)
+    w = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = cut.groupBy(*groups, "_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    heads = heads.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_gp"), "_base")
+    inner = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order))
+    same = F.col("_part") == F.col("_gp")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = cut.withColumn("_i", inner).join(heads, same)
+    return joined.select(*df.columns, (F.col("_base") + F.col("_i")).cast("bigint").alias(out))
