@@ -59,13 +59,33 @@ def script_of(ch: str) -> int | None:
     return 1 if 0x400 <= o < 0x530 else 2 if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else None
 
 
+_TAGS = re.compile("[\U000e0000-\U000e01ef]")  # invisible tags and selectors outside the first plane
+
+
+@lru_cache(maxsize=2)
+def _mapped(latin: bool):
+    """Pattern of the characters that the tables change, and what they change them to."""
+    table = {chr(k): v or "" for k, v in _first_table().items()}
+    if latin:
+        table |= {chr(k): v for k, v in _TO_LATIN.items()}
+    return re.compile("[" + "".join(re.escape(c) for c in sorted(table) if c <= "\uffff") + "]"), table  # a class within the first plane is a bitmap
+
+
+def _replaced(text: str, latin: bool) -> str:
+    pattern, table = _mapped(latin)
+    if _TAGS.search(text):
+        text = _TAGS.sub("", text)
+    return pattern.sub(lambda m: table[m[0]], text) if pattern.search(text) else text
+
+
 def skeleton(text: str) -> str:
     """Every character as the first of those that look like it; letters and their marks apart."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", text.translate(_first_table())).translate(_TO_LATIN)
+    return unicodedata.normalize("NFD", _replaced(text, False)).translate(_TO_LATIN) if _OTHER_SCRIPTS.search(text) else unicodedata.normalize("NFD", _replaced(text, True))
 
 
+_SIMPLE = re.compile(r"[^\W\d_]+")
 _ASCII_WORDS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 _OTHER_SCRIPTS = re.compile("[Ͱ-ԯἀ-῿]")
 
@@ -79,7 +99,7 @@ def words_of(texts) -> Counter:
         if t.isascii():
             words.update(t.encode().translate(_ASCII_WORDS).lower().split())
         else:
-            words.update(_LETTERS.findall(unicodedata.normalize("NFD", t.translate(_first_table()))))
+            words.update(_SIMPLE.findall(unicodedata.normalize("NFC", _replaced(t, False))))
     return words
 
 
@@ -87,7 +107,7 @@ def pairs_of(words: Counter) -> Counter:
     """Pairs of neighbouring base letters, with word ends, over words of one script that hold a letter of no other look."""
     pairs: Counter = Counter()
     for w, n in words.items():
-        w = w.decode() if isinstance(w, bytes) else re.sub("[̀-ͯ]", "", w).lower()
+        w = w.decode() if isinstance(w, bytes) else re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", w)).lower()
         kinds = {script_of(c) for c in w}
         if len(kinds) == 1 and (k := kinds.pop()) is not None and any(c not in _OPTIONS and ord(c) not in _TO_LATIN for c in w):
             for a, b in zip("^" + w, w + "$"):
@@ -164,9 +184,9 @@ class Decoder:
         A skeleton without letters of other scripts has the Latin spelling as its one script-consistent
         path through all lattices; every other text is searched word by word.
         """
+        if text.isascii() or not _mapped(True)[0].search(text) and not _OTHER_SCRIPTS.search(text) and not _TAGS.search(text) and unicodedata.is_normalized("NFC", text):
+            return text
         s = skeleton(text)
-        if s.isascii():
-            return s
         if not _OTHER_SCRIPTS.search(s):
             return unicodedata.normalize("NFC", s)
         plain = Counter(script_of(c) for c in s if c not in _OPTIONS and c.isalpha())
@@ -190,7 +210,8 @@ def canonical_texts(docs: DataFrame, *, keep_text: bool = True) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b["text"]]
             forms = [decoder.canonical(t) for t in texts]
-            out = {"doc_id": b["doc_id"], "look": [digest(t) for t in forms], "raw": [digest(t) for t in texts]}
+            raw = [digest(t) for t in texts]
+            out = {"doc_id": b["doc_id"], "look": [r if f is t else digest(f) for r, f, t in zip(raw, forms, texts)], "raw": raw}
             yield pd.DataFrame(out | ({"canonical": forms} if keep_text else {}))
 
     schema = "doc_id bigint, look binary, raw binary" + (", canonical string" if keep_text else "")
