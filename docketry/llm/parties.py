@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -317,22 +317,20 @@ def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.join(l, ["case_id", "a"]).join(r, ["case_id", "b"]).select("case_id", "a", "b", F.pandas_udf(_strengths, "double")("pa", "pb").alias("s")).where(F.col("s") > 0)
 
 
-def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(case_id, id, center): star clustering of a weighted graph, in rounds of joins.
 
     In each round every free node that is stronger (sum of its edges' strength, then smaller id) than all
     its free neighbours becomes a centre, and its free neighbours join the centre they are tied to most
-    surely. A node without edges is its own centre. The rounds end when no node is free; each is cut off
-    by a checkpoint and moves only ids.
+    surely. A node without edges is its own centre. The rounds end when no node is free: the strongest free
+    node is beaten by none, so each settles at least one. Each is cut off by a checkpoint and moves only ids.
     """
     both = materialize(edges.select("case_id", F.col("a").alias("id"), F.col("b").alias("to"), "s").unionByName(edges.select("case_id", F.col("b").alias("id"), F.col("a").alias("to"), "s")))
     weight = both.groupBy("case_id", "id").agg(F.sum("s").alias("w"))
     lone = nodes.join(weight, ["case_id", "id"], "left_anti").select("case_id", "id", F.col("id").alias("center"))
     free = materialize(weight)
     done = [lone]
-    for _ in range(rounds):
-        if free.isEmpty():
-            break
+    while not free.isEmpty():
         live = both.join(free.select("case_id", F.col("id"), F.col("w")), ["case_id", "id"]).join(free.select("case_id", F.col("id").alias("to"), F.col("w").alias("wt")), ["case_id", "to"])
         beaten = (F.col("wt") > F.col("w")) | ((F.col("wt") == F.col("w")) & (F.col("to") < F.col("id")))
         losers = live.where(beaten).select("case_id", "id").distinct()
@@ -342,11 +340,10 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataF
         joined = best.select("case_id", "id", (-F.col("m.col3")).alias("center"))
         new = materialize(joined.unionByName(centers.select("case_id", "id", F.col("id").alias("center"))))
         done.append(new)
+        if len(done) == 32:  # keeps the plan small in long runs
+            done = [materialize(reduce(DataFrame.unionByName, done))]
         free = materialize(free.join(new.select("case_id", "id"), ["case_id", "id"], "left_anti"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return materialize(out)
+    return materialize(reduce(DataFrame.unionByName, done))
 
 
 def _entity_rows(entities: DataFrame) -> DataFrame:

@@ -43,3 +43,13 @@ def test_parties_of_a_case(spark):
     members = {r.entity_no: r.party_no for r in party_members(e).collect()}
     assert members[3] == 1 and members[5] == 5 and members[12] == 11
     assert party_pairs(e.limit(0), calls).count() == 0
+
+
+def test_clusters_of_a_long_chain(spark):
+    from docketry.llm.parties import star_clusters
+
+    n = 66  # falling strengths: one centre and its neighbours a round, 33 rounds
+    nodes = spark.createDataFrame([("c", i) for i in range(n)], "case_id string, id bigint").coalesce(1)
+    edges = spark.createDataFrame([("c", i, i + 1, 5.0 - i / 100) for i in range(n - 1)], "case_id string, a bigint, b bigint, s double").coalesce(1)
+    got = {r.id: r.center for r in star_clusters(nodes, edges).collect()}
+    assert got == {0: 1, **{i: i if i % 2 else i - 1 for i in range(1, n)}}
