@@ -116,12 +116,23 @@ def org_word(word: str) -> str | None:
     return None
 
 
+def _spelled(text: str) -> list[str]:
+    """Words of letters of any script with their marks; apostrophes and inner hyphens belong to them."""
+    kept = "".join(c if c in "'-" or unicodedata.category(c)[0] in "LM" else " " for c in text)
+    return re.findall(r"[^\s-]+(?:-[^\s-]+)*", kept)
+
+
+def _cased(word: str) -> bool:
+    """Whether a word's script has capitals, so that a single letter is an initial; elsewhere it is a whole name."""
+    return word.lower() != word.upper()
+
+
 def parse(name: str) -> dict | None:
-    """The parts of a name: kind p (person), o (organisation) or a (initials of an organisation)."""
+    """The parts of a name: kind p (person), o (organisation), a (initials of an organisation) or w (one word that is the whole name)."""
     raw = unicodedata.normalize("NFKD", name)
     raw = "".join(c for c in raw if not unicodedata.combining(c)).replace("&", " and ").replace("’", "'")
     raw = re.sub(r"\b([A-Za-z])\.(?=[A-Za-z]\.)", r"\1", raw)  # L.L.C. -> LLC.
-    halves = [re.findall(r"[A-Za-z']+(?:-[A-Za-z']+)*", h) for h in raw.split(",")]
+    halves = [_spelled(h) for h in re.split("[,،、，]", raw)]
     halves = [h for h in halves if h]
     if not halves:
         return None
@@ -144,15 +155,22 @@ def parse(name: str) -> dict | None:
     clean = [h for h in clean if h]
     if not clean:
         return None
-    short = lambda w: len(w) == 1 or len(w) == 2 and w not in GIVEN and w not in NICKNAMES
+    short = lambda w: _cased(w) and (len(w) == 1 or len(w) == 2 and w not in GIVEN and w not in NICKNAMES)
+    # a last word of two letters is a surname if it is written as a word, or if case tells nothing and a given name stands before it
+    written = [w for h in halves for w in h if w.lower() in clean[0]]
+    mixed = len({w.isupper() for w in written}) > 1 or any(w[:1].isupper() and not w.isupper() for w in written)
+    brief = len(clean) == 1 and len(clean[0]) > 1 and len(clean[0][-1]) == 2 and _cased(clean[0][-1]) and len(clean[0][0]) > 1
+    brief = brief and (written[-1].istitle() if mixed else clean[0][0] in GIVEN or clean[0][0] in NICKNAMES)
     if len(clean) > 1:
         last, firsts = " ".join(clean[0]), clean[1]
     else:
         w = clean[0]
         if len(w) == 1:
+            if not _cased(w[0]) and len(w[0]) > 1:
+                return {"k": "w", "name": w[0]}
             known = w[0] in GIVEN or w[0] in NICKNAMES
             return {"k": "p", "last": "" if known else w[0], "first": w[0] if known else "", "mid": "", "suf": suffix}
-        if all(short(x) for x in w[1:]):
+        if all(short(x) for x in w[1:]) and not brief:
             last, firsts = w[0], w[1:]
         else:
             last, firsts = w[-1], w[:-1]
@@ -197,14 +215,20 @@ def keys_of(prof: dict) -> set[str]:
     for p in prof["n"]:
         if p["k"] == "p":
             for w in re.split(r"[ -]", p["last"]):
-                if len(w) > 2:
+                if len(w) > 1:
                     out.update(band_keys(w))
             if p["last"] and p["first"]:
                 out.add("a:" + p["first"][0] + p["last"][0])
+            elif p["first"]:
+                out.add("f:" + p["first"])
+        elif p["k"] == "w":
+            out.add("f:" + p["name"])
         elif p["k"] == "o":
             for w in p["lead"]:
                 if len(w) > 2:
                     out.update(band_keys(w))
+            if not p["lead"]:
+                out.add("f:" + " ".join(sorted(p["rest"])))
             out.add("a:" + p["acr"])
         else:
             out.add("a:" + p["acr"])
@@ -222,7 +246,11 @@ def _near(a: str, b: str) -> bool:
 
 def compare(p: dict, q: dict) -> int:
     """3: the same party, 1: may be the same, 0: nothing told, -1: different parties."""
+    if p["k"] == "w" and q["k"] == "w":
+        return _SAME if p["name"] == q["name"] else _NO
     if p["k"] == "p" and q["k"] == "p":
+        if not p["last"] and not q["last"]:  # a given name is all that is known; a surname alone makes no party
+            return 2 if len(p["first"]) > 1 and (p["first"], p["suf"]) == (q["first"], q["suf"]) else _NO
         if not p["last"] or not q["last"]:
             return _NO
         if not _near(p["last"], q["last"]):
@@ -234,6 +262,8 @@ def compare(p: dict, q: dict) -> int:
         a, b = p["first"], q["first"]
         if not a or not b:
             return _NO
+        if not _cased(a) or not _cased(b):
+            return _SAME if a == b else _CONFLICT
         if len(a) == 1 or len(b) == 1:
             full, one = (b, a) if len(a) == 1 else (a, b)
             if full[0] == one or given_of(full)[0] == one:
@@ -243,6 +273,8 @@ def compare(p: dict, q: dict) -> int:
             return _SAME if not (bool(p["suf"]) ^ bool(q["suf"])) else 2
         return _CONFLICT
     if p["k"] == "o" and q["k"] == "o":
+        if not p["lead"] and not q["lead"]:  # generic words only: the same words, initials of all others included
+            return _SAME if sorted(p["rest"]) == sorted(q["rest"]) and sorted(p["acr"]) == sorted(q["acr"]) else _NO
         if not p["lead"] or not q["lead"]:
             return _NO
         if monge_elkan(tuple(p["lead"]), tuple(q["lead"])) < 0.78:

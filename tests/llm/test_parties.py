@@ -1,4 +1,4 @@
-from docketry.llm.parties import LEAST_SIMILAR, RECALL, ROWS, band_keys, bands_for, compare, edits, likeness, monge_elkan, parse, party_members, party_pairs, profile, strength
+from docketry.llm.parties import LEAST_SIMILAR, RECALL, ROWS, band_keys, bands_for, compare, edits, keys_of, likeness, monge_elkan, parse, party_members, party_pairs, profile, strength
 
 
 def test_names():
@@ -53,3 +53,18 @@ def test_clusters_of_a_long_chain(spark):
     edges = spark.createDataFrame([("c", i, i + 1, 5.0 - i / 100) for i in range(n - 1)], "case_id string, a bigint, b bigint, s double").coalesce(1)
     got = {r.id: r.center for r in star_clusters(nodes, edges).collect()}
     assert got == {0: 1, **{i: i if i % 2 else i - 1 for i in range(1, n)}}
+
+
+def test_names_that_parse_poorly():
+    same = lambda a, b: strength(profile([a], []), profile([b], [])) >= 2 and bool(keys_of(profile([a], [])) & keys_of(profile([b], [])))
+    for a, b in (
+        ("Auto Glass Center", "Auto Glass Ctr."), ("Medical Associates", "Medical Associates"), ("Legal Services Group", "Services Group, Legal"), ("Иван Петров", "Петров, Иван"), ("王小明", "王小明"), ("王 明", "王 明"),
+        ("Γιώργος Παππάς", "Γιώργος Παππάς"), ("राम शर्मा", "राम शर्मा"), ("Ingrid", "ingrid"), ("Bill Wu", "William Wu"), ("bill wu", "Wu, Bill"), ("BILL WU", "Bill Wu"), ("Dmitri Ng", "Ng, Dmitri"),
+    ):
+        assert same(a, b), (a, b)
+    for a, b in (
+        ("Auto Glass Center", "Auto Body Center"), ("A & B Towing", "C & D Towing"), ("Medical Associates", "Medical Center"), ("Иван Петров", "Олег Петров"), ("王小明", "王小红"), ("王 明", "王 红"), ("Ingrid", "Sofia"),
+        ("Whiterridge", "Whiterridge"), ("Bill Wu", "Bill Xu"), ("Ann Wu", "Bill Wu"), ("Wang", "王小明"),
+    ):
+        assert not same(a, b), (a, b)
+    assert parse("whiterridge kd") == parse("Whiterridge KD") == parse("WHITERRIDGE KD") == parse("Whiterridge, K. D.")
