@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,10 @@ _HYPHEN = "-‐‑­¬"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BROKEN = re.compile(rf"([^\W\d_�!@|05)]+)[{_HYPHEN}][ \t]*$")
 _TWINS = {ord(v): k for t in (CYRILLIC_TWINS, GREEK_TWINS) for k, v in t.items()}
+#: What stands for letters that the reader lost: a glyph number, or replacement characters, one or more for a letter.
+_LOST = re.compile(r"\(?cid:\d+\)?")
+_NUMBER = re.compile(r"\$?(?:[\dlOIS]{1,3}(?:,[\dlOIS]{3})*|[\dlOIS]{4})(?:\.[\dlOIS]{2})?")
+_DIGITS = str.maketrans("lIOS", "1105")
 _EDGE = ".,;:()[]\"'?<>“”‘’…*"
 _LINE_END = re.compile(rf"(\S*[\w�!@|)])[{_HYPHEN}]$")
 _PAGE_NO = re.compile(r"^[\W_]*(?:(?:page|pg|p)\.?\s*)?[\divxlo]{1,6}(?:\s*(?:of|/)\s*[\dlio]{1,5})?[\W_]*$", re.I)
@@ -63,6 +68,8 @@ class Reader:
     def __init__(self, lexicon: dict[str, int], furniture: set[str]):
         self.lexicon, self.furniture, self.known, self.judged = lexicon, furniture, {}, {}
         self.total = max(1, sum(lexicon.values()))
+        self.words: list[str] = []
+        self.endings: list[str] = []
         self.by_length: dict[int, list[str]] = {}
         for f in furniture:
             self.by_length.setdefault(len(f) // 4, []).append(f)
@@ -135,6 +142,9 @@ class Reader:
             return got
         if len(self.known) > 300_000:
             self.known.clear()
+        if "�" in w:
+            best = self.known[w] = self.wild(w)
+            return best
         own = self.lexicon.get(w, 0)
         best, need = w, 0.0
         depth = 2 if own < 8 and len(w) < 24 else 1
@@ -145,6 +155,35 @@ class Reader:
         self.known[w] = best
         return best
 
+    def _fitting(self, w: str) -> list[str]:
+        """Words that begin or end as ``w`` does around its lost letters."""
+        if not self.words:
+            self.words, self.endings = sorted(self.lexicon), sorted(x[::-1] for x in self.lexicon)
+        head, tail = w[: w.index("�")], w[w.rindex("�") + 1 :][::-1]
+        a, b = (bisect_left(self.words, x) for x in (head, head + "\U0010ffff"))
+        c, d = (bisect_left(self.endings, x) for x in (tail, tail + "\U0010ffff"))
+        return self.words[a:b] if b - a <= d - c else [x[::-1] for x in self.endings[c:d]]
+
+    def wild(self, w: str) -> str:
+        """The likeliest word with one to three letters for each run of lost ones, else with a confusion besides; ``w`` itself if none fits.
+
+        Every letter beyond the run's length costs a factor of 4, like a confusion in ``meant``.
+        """
+        if not re.search(r"[^\W\d_]", w) or re.search(r"[\d_]", w):
+            return w
+        runs = [len(x) for x in re.findall("�+", w)]
+        best, need = w, 0.0
+        for edits, c in [(0, w), *(self.candidates(w, 1) if len(re.findall(r"[^\W\d_]", w)) > 3 else ())]:
+            if edits and need:
+                break
+            pattern = re.compile(re.sub("�+", lambda m: rf"([^\W\d_]{{1,{max(3, len(m[0]))}}})", re.escape(c)))
+            for x in self._fitting(c):
+                if 0 <= len(x) - len(c) + sum(runs) <= sum(max(3, r) for r in runs) and (n := self.lexicon[x]) >= 3 and n > need and (m := pattern.fullmatch(x)):
+                    n /= 4 ** sum(max(0, len(g) - r) for g, r in zip(m.groups(), runs))
+                    if n > need:
+                        best, need = x, n
+        return best
+
     def wrong(self, token: str) -> bool:
         """Whether a token holds a character that is not what the paper says; answers are kept."""
         got = self.judged.get(token)
@@ -163,7 +202,7 @@ class Reader:
         if not core.isascii() and any(ord(c) in _TWINS for c in core) and any("a" <= c.lower() <= "z" for c in core):
             return True
         if any(c.isdigit() for c in core):
-            if re.fullmatch(r"\$?(?:[\dlOIS]{1,3}(?:,[\dlOIS]{3})*|[\dlOIS]{4})(?:\.[\dlOIS]{2})?", core) and re.search(r"[lOIS]", core) and (core[0] == "$" or re.search(r"\d", core)):
+            if _NUMBER.fullmatch(core) and re.search(r"[lOIS]", core) and (core[0] == "$" or re.search(r"\d", core)):
                 return not re.search(r"[A-Z]{2}", core)
             if re.fullmatch(r"(?:[^\W\d_]+[-'’])*(?:[^\W\d_]*\d[^\W\d_]+|[^\W\d_]+\d[^\W\d_]*)(?:\d?[^\W\d_]+)*(?:[-'’][^\W\d_]+)*", core):
                 return any(self.meant(p) != p.lower() for p in re.split("[-'’]", core) if re.search(r"\d", p))
@@ -181,7 +220,7 @@ class Reader:
         return -math.log((self.lexicon.get(word.lower(), 0) + 0.01) / self.total)
 
     def _single(self, core: str) -> float:
-        if self.count(core) >= 3 or not core.isalpha():
+        if self.count(core) >= 3 or not core.replace("�", "").isalpha():
             return self._cost(core)
         meant = self.meant(core)
         return self._cost(meant) + 4 if meant != core.lower() else 16.0
@@ -195,11 +234,11 @@ class Reader:
         costs 4) runs over the stretches of tokens between them.
         """
         n, out, i = len(tokens), [], 0
-        cores = [t.strip(_EDGE) for t, _ in tokens]
+        cores = [_LOST.sub("�", t).strip(_EDGE) for t, _ in tokens]
         ends = [k + 1 < n and tokens[k + 1][1] != tokens[k][1] and bool(_LINE_END.search(tokens[k][0])) for k in range(n)]
 
         def doubtful(k: int) -> bool:
-            return ends[k] or cores[k].isalpha() and self.count(cores[k]) < 3
+            return ends[k] or cores[k].replace("�", "").isalpha() and self.count(cores[k]) < 3
 
         while i < n:
             if not doubtful(i):
@@ -229,6 +268,10 @@ class Reader:
                 if k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and tokens[k][0] == core and core.isalpha() and cores[k + 1].isalpha() and (self.count(core) < 3 or self.count(cores[k + 1]) < 3):
                     if self.count(core + cores[k + 1]) >= 20:
                         arc(k, k + 2, self._cost(core + cores[k + 1]) + 4, "merge")
+                elif k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and "�" in core + cores[k + 1] and tokens[k][0][-1:] not in _EDGE + "-" and all(self.count(x) < 3 and self.meant(x) == x.lower() for x in (core, cores[k + 1])):
+                    both = core + cores[k + 1]  # letters lost and a blank too many
+                    if sum(c.isalpha() for c in both) > 3 and both.replace("�", "").isalpha() and (meant := self.meant(both)) != both.lower() and self.count(meant) >= 20:
+                        arc(k, k + 2, self._cost(meant) + 8, "merge")
             path, e = [], hi
             while e > i:
                 _, b, kind = best[e - i]
@@ -246,6 +289,7 @@ class Reader:
         The joined and the hyphenated reading are compared as segmentations: by their counts in running
         lines, each also with the confusions it may hold.
         """
+        head, tail = _LOST.sub("�", head), _LOST.sub("�", tail)
         a = re.split(r"[^\w'’�!@|-]", head)[-1].lower()
         b = re.match(r"[\w'’�!@|-]*", tail.lstrip("\"'(")).group(0).lower()
         if not b or not a:
@@ -311,12 +355,22 @@ class Reader:
     # paragraphs ----------------------------------------------------------------------------------
 
     def repair_token(self, token: str) -> str:
-        core = token.strip(_EDGE)
-        if not core or not self.wrong(token) or "�" in core or "cid:" in core:
+        """The token as the paper has it. Lost letters of which no word tells stay marked, and so do lost digits."""
+        bare = _LOST.sub("�", token)
+        core = bare.strip(_EDGE)
+        if not core or not self.wrong(token):
             return token
-        fixed = self.meant(core.translate(_TWINS))
-        fixed = fixed.upper() if core.isupper() else fixed.capitalize() if core[0].isupper() else fixed
-        return token.replace(core, fixed, 1)
+        if _NUMBER.fullmatch(core):
+            return bare.replace(core, core.translate(_DIGITS), 1)
+        cased = lambda new, old: new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[:1].isupper() or old[0] == "�" and old[1:].isupper() else new
+        plain = core.translate(_TWINS)
+        if (fixed := self.meant(plain)) != core.lower():
+            fixed = cased(fixed, core)
+        elif plain[-1] in _HYPHEN:  # the first part of a word
+            return token
+        else:  # its parts one by one
+            fixed = "".join(cased(m, x) if x and (m := self.meant(x)) != x.lower() else x for x in re.split(r"([-/'’—])", plain))
+        return token if "�" in fixed else bare.replace(core, fixed, 1)
 
     def paragraphs(self, text: str, pages: bool) -> list[str]:
         """Running paragraphs: furniture out, broken words joined, misread words repaired, boundaries by dynamic programming.
@@ -358,7 +412,7 @@ class Reader:
                 elif kind == "keep":
                     words.append(self.repair_token(t + stream[b + 1][0]))
                 elif kind == "merge":
-                    words.append(t + stream[b + 1][0])
+                    words.append(self.repair_token(t + stream[b + 1][0]))
                 elif kind == "split":
                     core = t.strip(_EDGE)
                     c = min((c for c in range(2, len(core) - 1) if self.count(core[:c]) >= 20 and self.count(core[c:]) >= 20), key=lambda c: self._cost(core[:c]) + self._cost(core[c:]))

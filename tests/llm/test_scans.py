@@ -42,3 +42,14 @@ def test_tables(spark):
     got = {(r.src, r.row_id, r.line_no, r.defect) for r in line_defects(pages, results).collect()}
     assert all(("page_results", i, 1, "running") in got for i in range(12) if i != 7)
     assert repaired_paragraphs(pages, results).count() > 0 and line_defects(pages.limit(0), results.limit(0)).count() == 0
+
+
+def test_lost_letters_and_misread_numbers():
+    r = reader()
+    for bad, good in (
+        ("agree�ent,", "agreement,"), ("(cid:82)greement", "agreement"), ("Th(cid:99)", "The"), ("dispos��l", "disposal"), ("U(cid:7)(cid:8)ire", "Umpire"), ("re-insp�ction.", "re-inspection."), ("valuati�n/apprai�al", "valuation/appraisal"),
+        ("AGREEM�NT", "AGREEMENT"), ("�greernent", "agreement"), ("$l,491", "$1,491"), ("$1,S9O.0l", "$1,590.01"), ("2O19", "2019"), ("$1,�91", "$1,�91"), ("�", "�"), ("zq�xv", "zq�xv"),
+    ):
+        assert r.repair_token(bad) == good, bad
+    assert r.paragraphs("The valu(cid:4)tion report arr�-\nved when the mort(cid:9) agee paid $l,491.", True)[0].startswith("The valuation report arrived when the")
+    assert r.paragraphs("the agr�em ent permits", True) == ["the agreement permits"]
