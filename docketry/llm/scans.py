@@ -373,30 +373,53 @@ class Reader:
         return token if "�" in fixed else bare.replace(core, fixed, 1)
 
     def paragraphs(self, text: str, pages: bool) -> list[str]:
-        """Running paragraphs: furniture out, broken words joined, misread words repaired, boundaries by dynamic programming.
+        """The running paragraphs of one text."""
+        return [x for _, x in self.document([text], pages)]
 
-        Every gap between two lines is either a boundary or none. Boundaries cost less at blank lines,
-        after short lines that end a sentence and before capitals; paragraphs of under two lines cost extra.
+    def document(self, texts: list[str], pages: bool) -> list[tuple[int, str]]:
+        """(number of the text it begins in, paragraph) of texts that follow one another: furniture out, broken words joined, misread words repaired, boundaries by dynamic programming.
+
+        Every gap between two lines is either a boundary or none, also where a page ends. Boundaries cost less
+        at blank lines, after short lines that end a sentence and before capitals; paragraphs of under two
+        lines cost extra. A text without any line may hold what is missing, so a paragraph ends there.
         """
-        lines = text.split("\n")
-        run = self.running(lines, pages)
-        body = [i for i, x in enumerate(lines) if x.strip() and i not in run]
+        lines: list[str] = []
+        body: list[int] = []
+        page_of: dict[int, int] = {}
+        width_of: dict[int, int] = {}
+        apart: set[int] = set()  # lines that begin a paragraph because the page before has none
+        full = True
+        for no, text in enumerate(texts):
+            own = text.split("\n")
+            run = self.running(own, pages)
+            kept = [i for i, x in enumerate(own) if x.strip() and i not in run]
+            width = max((len(own[i].rstrip()) for i in kept), default=0)
+            for i in kept:
+                page_of[len(lines) + i], width_of[len(lines) + i] = no, width
+            if kept and not full:
+                apart.add(len(lines) + kept[0])
+            body += [len(lines) + i for i in kept]
+            lines += own
+            full = bool(kept)
         if not body:
             return []
-        width = max(len(lines[i].rstrip()) for i in body)
         n = len(body)
         gap = [0.0] * n  # cost of a boundary before line k less that of none
         for k in range(1, n):
             before, here = lines[body[k - 1]].rstrip(), lines[body[k]].strip()
-            blank = any(not lines[j].strip() for j in range(body[k - 1] + 1, body[k]))
+            blank = page_of[body[k - 1]] == page_of[body[k]] and any(not lines[j].strip() for j in range(body[k - 1] + 1, body[k]))
             ends = bool(re.search(r"[.?!:][\"')]?$", before))
-            gap[k] = 2.0 - 3.0 * blank - 1.5 * (ends and len(before) < 0.75 * width) + (0.0 if here[:1].isupper() or here[:1].isdigit() else 3.0) + (0.0 if ends else 1.5)
+            gap[k] = 2.0 - 3.0 * blank - 1.5 * (ends and len(before) < 0.75 * width_of[body[k - 1]]) + (0.0 if here[:1].isupper() or here[:1].isdigit() else 3.0) + (0.0 if ends else 1.5)
+            if body[k] in apart:
+                gap[k] = -1e6
+        # the cheapest beginning of a paragraph that ends before line e, over all lines: the last line alone, or the best of all earlier ones
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        low, at = math.inf, 0
         for e in range(1, n + 1):
-            for s in range(max(0, e - 80), e):
-                c = best[s] + (gap[s] if s else 0.0) + (0.3 if e - s < 2 else 0.0) + (0.0 if e - s < 80 else 50.0)
-                if c < best[e]:
-                    best[e], back[e] = c, s
+            if e > 1 and (c := best[e - 2] + gap[e - 2]) < low:
+                low, at = c, e - 2
+            alone = best[e - 1] + gap[e - 1] + 0.3
+            best[e], back[e] = (low, at) if low <= alone else (alone, e - 1)
         spans, e = [], n
         while e:
             spans.append((back[e], e))
@@ -419,7 +442,7 @@ class Reader:
                     words.append(t.replace(core, f"{core[:c]} {core[c:]}", 1))
                 else:
                     words.append(self.repair_token(t))
-            out.append(" ".join(words))
+            out.append((page_of[body[s]], " ".join(words)))
         return out
 
 
@@ -514,15 +537,38 @@ def line_defects(pages: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
-    """(src, row_id, paragraph_no, paragraph): the running paragraphs of every page and image text."""
+    """(src, row_id, paragraph_no, paragraph): the running paragraphs of every document and image text.
+
+    The pages of an extraction are read on end, in the order of their numbers, up to the next number that is
+    missing. A paragraph has the row_id of the page it begins on and is counted from 1 in its document. Rows
+    stream past in order; a task holds one document at a time.
+    """
     texts, model = _reader(pages, results)
+    keys = pages.select(F.lit("page_results").alias("src"), F.col("page_id").alias("row_id"), F.col("extraction_id").alias("doc"), F.col("page_number").alias("page"))
+    texts = texts.join(keys, ["src", "row_id"], "left")
+    lone = F.col("doc").isNull() | F.col("page").isNull()
+    texts = texts.select("src", "row_id", "text", "pages", lone.alias("lone"), F.when(lone, F.col("row_id")).otherwise(F.col("doc")).alias("doc"), F.coalesce("page", F.lit(0)).alias("page"))
+    ordered = texts.repartition("src", "lone", "doc").sortWithinPartitions("src", "lone", "doc", "page", "row_id")
 
     def read(batches):
+        from itertools import groupby
+
         import pandas as pd
 
         reader = Reader(*model.value)
-        for b in batches:
-            rows = [(s, r, k + 1, x) for s, r, t, p in zip(b["src"], b["row_id"], b["text"], b["pages"]) for k, x in enumerate(reader.paragraphs(t, p))]
-            yield pd.DataFrame(rows, columns=["src", "row_id", "paragraph_no", "paragraph"]).astype({"row_id": "int64", "paragraph_no": "int32"})
-
-    return texts.mapInPandas(read, "src string, row_id bigint, paragraph_no int, paragraph string")
+        rows = (r for b in batches for r in zip(b["src"], b["lone"], b["doc"], b["page"], b["row_id"], b["text"], b["pages"]))
+        out = []
+        for (src, _, _), held in groupby(rows, key=lambda r: r[:3]):
+            runs: list[list] = []
+            for r in held:
+                if not runs or r[3] - runs[-1][-1][3] > 1:
+                    runs.append([])
+                runs[-1].append(r)
+            found = [(run[k][4], x) for run in runs for k, x in reader.document([r[5] for r in run], bool(run[0][6]))]
+            out += [(src, i, k + 1, x) for k, (i, x) in enumerate(found)]
+            if len(out) > 2000:
+                yield pd.DataFrame(out, columns=["src", "row_id", "paragraph_no", "paragraph"]).astype({"row_id": "int64", "paragraph_no": "int32"})
+                out = []
+        yield pd.DataFrame(out, columns=["src", "row_id", "paragraph_no", "paragraph"]).astype({"row_id": "int64", "paragraph_no": "int32"})
+
+    return ordered.mapInPandas(read, "src string, row_id bigint, paragraph_no int, paragraph string")

@@ -53,3 +53,14 @@ def test_lost_letters_and_misread_numbers():
         assert r.repair_token(bad) == good, bad
     assert r.paragraphs("The valu(cid:4)tion report arr�-\nved when the mort(cid:9) agee paid $l,491.", True)[0].startswith("The valuation report arrived when the")
     assert r.paragraphs("the agr�em ent permits", True) == ["the agreement permits"]
+
+
+def test_paragraphs_over_page_ends(spark):
+    assert reader().document(["The agreement permits dispo-\n1", "2\nsal of the coupe.", "", "without consent"], True) == [(0, "The agreement permits disposal of the coupe."), (3, "without consent")]
+    assert len(reader().paragraphs("\n".join(["the agreement permits disposal of the"] * 200), True)) == 1
+    rows = [(1, 7, 2, "sal of the coupe.\n\nEither side may"), (2, 7, 1, "The agreement permits dispo-"), (3, 7, 3, "demand an umpire."), (4, 7, 5, "under the provision"), (5, None, 1, "the loss"), (6, 8, 1, "the amount")]
+    pages = spark.createDataFrame(rows, "page_id bigint, extraction_id bigint, page_number int, text string")
+    results = spark.createDataFrame([(7, "tesseract@5", "the loss"), (9, "stdlib-email", "disposal " * 9)], "extraction_id bigint, method string, text string")
+    got = {(r.src, r.row_id, r.paragraph_no): r.paragraph for r in repaired_paragraphs(pages, results).collect()}
+    p = "page_results"
+    assert got == {(p, 2, 1): "The agreement permits disposal of the coupe.", (p, 1, 2): "Either side may demand an umpire.", (p, 4, 3): "under the provision", (p, 5, 1): "the loss", (p, 6, 1): "the amount", ("extraction_results", 7, 1): "the loss"}
