@@ -23,6 +23,8 @@ _SEEN: dict[str, tuple[str, ...]] = {s: tuple(m for x, m in CONFUSIONS if x == s
 RATIO = 12
 #: Relative frequency from which words and furniture lines are kept, which bounds both tables by its inverse.
 LEAST_SHARE = 2e-6
+#: Number of words up to which word limits are counts; in larger corpora they grow in step, so that they stay shares.
+WORDS = 840_000
 _HYPHEN = "-‐‑­¬"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BROKEN = re.compile(rf"([^\W\d_�!@|05)]+)[{_HYPHEN}][ \t]*$")
@@ -68,6 +70,7 @@ class Reader:
     def __init__(self, lexicon: dict[str, int], furniture: set[str]):
         self.lexicon, self.furniture, self.known, self.judged = lexicon, furniture, {}, {}
         self.total = max(1, sum(lexicon.values()))
+        self.scale = max(1.0, self.total / WORDS)
         self.words: list[str] = []
         self.endings: list[str] = []
         self.by_length: dict[int, list[str]] = {}
@@ -76,20 +79,21 @@ class Reader:
 
     # furniture -----------------------------------------------------------------------------------
 
-    def is_furniture(self, line: str) -> bool:
+    def is_furniture(self, line: str, own: frozenset[str] = frozenset()) -> bool:
         m = mask(line)
         words = re.findall(r"[^\W\d_]{3,}", line)
-        if "#" not in m and sum(w[0].islower() for w in words) > 0.34 * len(words):
+        lower = sum(w[0].islower() for w in words) > 0.34 * len(words)
+        if "#" not in m and lower:
             return False
-        if m in self.furniture:
+        if m in self.furniture or m in own and not lower:  # two pages alone do not tell a header from a sentence with other numbers
             return True
         if "�" in m:
             p = re.compile(re.sub("�+", ".{1,3}", re.escape(m).replace(re.escape("�"), "�")))
             return any(p.fullmatch(f) for k in (len(m) // 4 - 1, len(m) // 4, len(m) // 4 + 1) for f in self.by_length.get(k, ()))
         return False
 
-    def running(self, lines: list[str], pages: bool) -> set[int]:
-        """Numbers of running headers, footers and page numbers; ``pages``: the text is one page, not several on end."""
+    def running(self, lines: list[str], pages: bool, own: frozenset[str] = frozenset()) -> set[int]:
+        """Numbers of running headers, footers and page numbers; ``pages``: the text is one page, not several on end; ``own``: masks of the document's own furniture."""
         edge, _ = edge_lines(lines)
         out: set[int] = set()
         full = [i for i, x in enumerate(lines) if x.strip()]
@@ -97,7 +101,7 @@ class Reader:
             s = lines[i]
             if _FAX.match(s) or _STRONG_NO.match(s) or _STAMP_NO.match(s):
                 out.add(i)
-            elif (i in edge or not pages) and not _ends_sentence(s) and self.is_furniture(s):
+            elif (i in edge or not pages) and not _ends_sentence(s) and self.is_furniture(s, own):
                 out.add(i)
             elif _PAGE_NO.match(s) and (k in (0, 1) or k >= len(full) - 2):
                 out.add(i)
@@ -147,10 +151,10 @@ class Reader:
             return best
         own = self.lexicon.get(w, 0)
         best, need = w, 0.0
-        depth = 2 if own < 8 and len(w) < 24 else 1
+        depth = 2 if own < 8 * self.scale and len(w) < 24 else 1
         for edits, c in self.candidates(w, depth):
             n = self.lexicon.get(c, 0)
-            if n >= 3 and n > RATIO ** edits * max(own, 0.25 if not w.isalpha() else 0.4) and n / 4**edits > need and (len(c) > 3 or n > 30 * max(1, own)):
+            if n >= 3 * self.scale and n > RATIO ** edits * max(own, (0.25 if not w.isalpha() else 0.4) * self.scale) and n / 4**edits > need and (len(c) > 3 or n > 30 * max(self.scale, own)):
                 best, need = c, n / 4**edits
         self.known[w] = best
         return best
@@ -178,7 +182,7 @@ class Reader:
                 break
             pattern = re.compile(re.sub("�+", lambda m: rf"([^\W\d_]{{1,{max(3, len(m[0]))}}})", re.escape(c)))
             for x in self._fitting(c):
-                if 0 <= len(x) - len(c) + sum(runs) <= sum(max(3, r) for r in runs) and (n := self.lexicon[x]) >= 3 and n > need and (m := pattern.fullmatch(x)):
+                if 0 <= len(x) - len(c) + sum(runs) <= sum(max(3, r) for r in runs) and (n := self.lexicon[x]) >= 3 * self.scale and n > need and (m := pattern.fullmatch(x)):
                     n /= 4 ** sum(max(0, len(g) - r) for g, r in zip(m.groups(), runs))
                     if n > need:
                         best, need = x, n
@@ -209,18 +213,18 @@ class Reader:
             return False
         if re.search(r"[!@|$]", core[:-1]) or core[-1] in "@|" or (core[-1] == "!" and len(core) > 2):
             return "." not in core and self.meant(core.replace("’", "'")) != core.lower() or any(self.meant(p) != p.lower() for p in core.split("-") if re.search(r"[!@|$]", p))
-        if self.count(core) >= 3 and "-" in core:
+        if self.count(core) >= 3 * self.scale and "-" in core:
             own = self.count(core)
-            return any(self.meant(p) != p.lower() for p in core.split("-")) and own < 30
+            return any(self.meant(p) != p.lower() for p in core.split("-")) and own < 30 * self.scale
         return any(self.meant(p) != p.lower() for p in re.split(r"[-/'’]|—", core) if len(p) > 1 and p.isalpha())
 
     # stream --------------------------------------------------------------------------------------
 
     def _cost(self, word: str) -> float:
-        return -math.log((self.lexicon.get(word.lower(), 0) + 0.01) / self.total)
+        return -math.log((self.lexicon.get(word.lower(), 0) + 0.01 * self.scale) / self.total)
 
     def _single(self, core: str) -> float:
-        if self.count(core) >= 3 or not core.replace("�", "").isalpha():
+        if self.count(core) >= 3 * self.scale or not core.replace("�", "").isalpha():
             return self._cost(core)
         meant = self.meant(core)
         return self._cost(meant) + 4 if meant != core.lower() else 16.0
@@ -238,7 +242,7 @@ class Reader:
         ends = [k + 1 < n and tokens[k + 1][1] != tokens[k][1] and bool(_LINE_END.search(tokens[k][0])) for k in range(n)]
 
         def doubtful(k: int) -> bool:
-            return ends[k] or cores[k].replace("�", "").isalpha() and self.count(cores[k]) < 3
+            return ends[k] or cores[k].replace("�", "").isalpha() and self.count(cores[k]) < 3 * self.scale
 
         while i < n:
             if not doubtful(i):
@@ -261,16 +265,16 @@ class Reader:
                     arc(k, k + 2, 0.0, "join" if self.breaks(_LINE_END.search(tokens[k][0])[1], tokens[k + 1][0]) else "keep")
                     continue
                 arc(k, k + 1, self._single(core), "word")
-                if core.isalpha() and self.count(core) < 3:
+                if core.isalpha() and self.count(core) < 3 * self.scale:
                     for c in range(2, len(core) - 1):
-                        if self.count(core[:c]) >= 20 and self.count(core[c:]) >= 20:
+                        if self.count(core[:c]) >= 20 * self.scale and self.count(core[c:]) >= 20 * self.scale:
                             arc(k, k + 1, self._cost(core[:c]) + self._cost(core[c:]) + 4, "split")
-                if k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and tokens[k][0] == core and core.isalpha() and cores[k + 1].isalpha() and (self.count(core) < 3 or self.count(cores[k + 1]) < 3):
-                    if self.count(core + cores[k + 1]) >= 20:
+                if k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and tokens[k][0] == core and core.isalpha() and cores[k + 1].isalpha() and (self.count(core) < 3 * self.scale or self.count(cores[k + 1]) < 3 * self.scale):
+                    if self.count(core + cores[k + 1]) >= 20 * self.scale:
                         arc(k, k + 2, self._cost(core + cores[k + 1]) + 4, "merge")
-                elif k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and "�" in core + cores[k + 1] and tokens[k][0][-1:] not in _EDGE + "-" and all(self.count(x) < 3 and self.meant(x) == x.lower() for x in (core, cores[k + 1])):
+                elif k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and "�" in core + cores[k + 1] and tokens[k][0][-1:] not in _EDGE + "-" and all(self.count(x) < 3 * self.scale and self.meant(x) == x.lower() for x in (core, cores[k + 1])):
                     both = core + cores[k + 1]  # letters lost and a blank too many
-                    if sum(c.isalpha() for c in both) > 3 and both.replace("�", "").isalpha() and (meant := self.meant(both)) != both.lower() and self.count(meant) >= 20:
+                    if sum(c.isalpha() for c in both) > 3 and both.replace("�", "").isalpha() and (meant := self.meant(both)) != both.lower() and self.count(meant) >= 20 * self.scale:
                         arc(k, k + 2, self._cost(meant) + 8, "merge")
             path, e = [], hi
             while e > i:
@@ -299,20 +303,20 @@ class Reader:
         hyph = max(self.count(f"{a}-{b}"), self.count(f"{first}-{last}"), self.count(f"{first}-{b}"), self.count(f"{a}-{last}"))
         if joined or hyph:
             return joined > hyph
-        if self.count(first) >= 20 and self.count(last) >= 20 and len(first) > 3 and len(last) > 3:
+        if self.count(first) >= 20 * self.scale and self.count(last) >= 20 * self.scale and len(first) > 3 and len(last) > 3:
             return False
         return b[0].islower() or not b[0].isalpha()
 
-    def defects(self, text: str, after: str | None, pages: bool) -> list[tuple[int, str]]:
+    def defects(self, text: str, after: str | None, pages: bool, own: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
         """(line number, defect) of one text; ``after`` is the beginning of the next page."""
         lines = text.split("\n")
-        run = self.running(lines, pages)
+        run = self.running(lines, pages, own)
         out = [(i + 1, "running") for i in run]
         body = [i for i, x in enumerate(lines) if x.strip() and i not in run]
         rest = None
         if after:
             follow = after.split("\n")
-            skip = self.running(follow, pages)
+            skip = self.running(follow, pages, own)
             rest = next((x for i, x in enumerate(follow) if x.strip() and i not in skip), None)
         stream = [(t, i) for i in body for t in lines[i].split()]
         if rest and rest.split():
@@ -376,7 +380,7 @@ class Reader:
         """The running paragraphs of one text."""
         return [x for _, x in self.document([text], pages)]
 
-    def document(self, texts: list[str], pages: bool) -> list[tuple[int, str]]:
+    def document(self, texts: list[str], pages: bool, furniture: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
         """(number of the text it begins in, paragraph) of texts that follow one another: furniture out, broken words joined, misread words repaired, boundaries by dynamic programming.
 
         Every gap between two lines is either a boundary or none, also where a page ends. Boundaries cost less
@@ -391,7 +395,7 @@ class Reader:
         full = True
         for no, text in enumerate(texts):
             own = text.split("\n")
-            run = self.running(own, pages)
+            run = self.running(own, pages, furniture)
             kept = [i for i, x in enumerate(own) if x.strip() and i not in run]
             width = max((len(own[i].rstrip()) for i in kept), default=0)
             for i in kept:
@@ -438,7 +442,7 @@ class Reader:
                     words.append(self.repair_token(t + stream[b + 1][0]))
                 elif kind == "split":
                     core = t.strip(_EDGE)
-                    c = min((c for c in range(2, len(core) - 1) if self.count(core[:c]) >= 20 and self.count(core[c:]) >= 20), key=lambda c: self._cost(core[:c]) + self._cost(core[c:]))
+                    c = min((c for c in range(2, len(core) - 1) if self.count(core[:c]) >= 20 * self.scale and self.count(core[c:]) >= 20 * self.scale), key=lambda c: self._cost(core[:c]) + self._cost(core[c:]))
                     words.append(t.replace(core, f"{core[:c]} {core[c:]}", 1))
                 else:
                     words.append(self.repair_token(t))
@@ -510,11 +514,33 @@ def furniture(texts: DataFrame) -> set[str]:
     return {r["mask"] for r in kept.collect() if len(re.sub("[^a-z]", "", r["mask"])) >= 4}
 
 
+def own_furniture(pages: DataFrame) -> DataFrame:
+    """(extraction_id, own): masks at the edges of two or more pages of a document, whatever the corpus; the table is joined by document."""
+
+    def count(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for doc, text in zip(b["extraction_id"], b["text"]):
+                lines = text.split("\n")
+                at, _ = edge_lines(lines)
+                rows += [(doc, m) for m in {mask(lines[i]) for i in at if not _ends_sentence(lines[i])} if len(re.sub("[^a-z]", "", m)) >= 4]
+            yield pd.DataFrame(rows, columns=["extraction_id", "mask"]).astype({"extraction_id": "int64", "mask": object})
+
+    kept = pages.where(F.col("extraction_id").isNotNull() & F.col("text").isNotNull()).select("extraction_id", "text")
+    rows = kept.mapInPandas(count, "extraction_id bigint, mask string").groupBy("extraction_id", "mask").agg(F.count("*").alias("n"))
+    return rows.where(F.col("n") >= 2).groupBy("extraction_id").agg(F.collect_set("mask").alias("own"))
+
+
 def _reader(pages: DataFrame, results: DataFrame):
     texts = page_texts(pages, results)
+    keys = pages.select(F.lit("page_results").alias("src"), F.col("page_id").alias("row_id"), "extraction_id", F.col("page_number").alias("page"))
+    keys = keys.join(own_furniture(pages), "extraction_id", "left").withColumnRenamed("extraction_id", "doc")
     words = texts.select("text").unionByName(results.where(~F.col("method").startswith("tesseract") & F.col("text").isNotNull()).select("text"))
     sc = pages.sparkSession.sparkContext
-    return texts, sc.broadcast((lexicon(words), furniture(texts)))
+    model = sc.broadcast((lexicon(words), furniture(texts)))
+    return texts.join(keys, ["src", "row_id"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>"))), model
 
 
 def line_defects(pages: DataFrame, results: DataFrame) -> DataFrame:
@@ -530,7 +556,7 @@ def line_defects(pages: DataFrame, results: DataFrame) -> DataFrame:
 
         reader = Reader(*model.value)
         for b in batches:
-            rows = [(s, r, n, d) for s, r, t, a, p in zip(b["src"], b["row_id"], b["text"], b["after"], b["pages"]) for n, d in reader.defects(t, a, p)]
+            rows = [(s, r, n, d) for s, r, t, a, p, o in zip(b["src"], b["row_id"], b["text"], b["after"], b["pages"], b["own"]) for n, d in reader.defects(t, a, p, frozenset(o))]
             yield pd.DataFrame(rows, columns=["src", "row_id", "line_no", "defect"]).astype({"row_id": "int64", "line_no": "int32"})
 
     return texts.mapInPandas(read, "src string, row_id bigint, line_no int, defect string")
@@ -544,10 +570,8 @@ def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
     stream past in order; a task holds one document at a time.
     """
     texts, model = _reader(pages, results)
-    keys = pages.select(F.lit("page_results").alias("src"), F.col("page_id").alias("row_id"), F.col("extraction_id").alias("doc"), F.col("page_number").alias("page"))
-    texts = texts.join(keys, ["src", "row_id"], "left")
     lone = F.col("doc").isNull() | F.col("page").isNull()
-    texts = texts.select("src", "row_id", "text", "pages", lone.alias("lone"), F.when(lone, F.col("row_id")).otherwise(F.col("doc")).alias("doc"), F.coalesce("page", F.lit(0)).alias("page"))
+    texts = texts.select("src", "row_id", "text", "pages", "own", lone.alias("lone"), F.when(lone, F.col("row_id")).otherwise(F.col("doc")).alias("doc"), F.coalesce("page", F.lit(0)).alias("page"))
     ordered = texts.repartition("src", "lone", "doc").sortWithinPartitions("src", "lone", "doc", "page", "row_id")
 
     def read(batches):
@@ -556,7 +580,7 @@ def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
         import pandas as pd
 
         reader = Reader(*model.value)
-        rows = (r for b in batches for r in zip(b["src"], b["lone"], b["doc"], b["page"], b["row_id"], b["text"], b["pages"]))
+        rows = (r for b in batches for r in zip(b["src"], b["lone"], b["doc"], b["page"], b["row_id"], b["text"], b["pages"], b["own"]))
         out = []
         for (src, _, _), held in groupby(rows, key=lambda r: r[:3]):
             runs: list[list] = []
@@ -564,7 +588,7 @@ def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
                 if not runs or r[3] - runs[-1][-1][3] > 1:
                     runs.append([])
                 runs[-1].append(r)
-            found = [(run[k][4], x) for run in runs for k, x in reader.document([r[5] for r in run], bool(run[0][6]))]
+            found = [(run[k][4], x) for run in runs for k, x in reader.document([r[5] for r in run], bool(run[0][6]), frozenset(run[0][7]))]
             out += [(src, i, k + 1, x) for k, (i, x) in enumerate(found)]
             if len(out) > 2000:
                 yield pd.DataFrame(out, columns=["src", "row_id", "paragraph_no", "paragraph"]).astype({"row_id": "int64", "paragraph_no": "int32"})

@@ -64,3 +64,17 @@ def test_paragraphs_over_page_ends(spark):
     got = {(r.src, r.row_id, r.paragraph_no): r.paragraph for r in repaired_paragraphs(pages, results).collect()}
     p = "page_results"
     assert got == {(p, 2, 1): "The agreement permits disposal of the coupe.", (p, 1, 2): "Either side may demand an umpire.", (p, 4, 3): "under the provision", (p, 5, 1): "the loss", (p, 6, 1): "the amount", ("extraction_results", 7, 1): "the loss"}
+
+
+def test_furniture_of_a_document_and_limits_as_shares(spark):
+    body = "the agreement permits disposal of the coupe without written consent\nunder the appraisal provision either side may demand an umpire"
+    rows = [(1, 1, 1, f"Holmgate Records 5\n{body}"), (2, 1, 2, f"Holmgate Records 6\n{body}"), (3, 2, 1, f"Other Ledger 5\n{body}")]
+    pages = spark.createDataFrame(rows, "page_id bigint, extraction_id bigint, page_number int, text string")
+    results = spark.createDataFrame([], "extraction_id bigint, method string, text string")
+    assert {(r.row_id, r.line_no) for r in line_defects(pages, results).collect() if r.defect == "running"} == {(1, 1), (2, 1)}
+    large = Reader({**{w: 500_000 for w in WORDS}, "consenf": 4000, "disposai": 2}, set())
+    small = Reader({**{w: 500 for w in WORDS}, "consenf": 4}, set())
+    for w in ("consenf", "agreernent", "disposai", "umpire"):
+        assert large.wrong(w) == small.wrong(w), w
+    few = Reader({"filler": 840_000 * 20, "consenf": 20, "consent": 19 * 20}, set())
+    assert few.wrong("consenf") and Reader({"filler": 840_000, "consenf": 1, "consent": 19}, set()).wrong("consenf")
