@@ -20,7 +20,8 @@ SCHEMA = (
 
 
 def people(value: str | None) -> list[dict]:
-    return [{"name": n, "email": a.lower()} for n, a in getaddresses([value or ""]) if n or a]
+    """Names and addresses of a header, as written; entries without an address fall out."""
+    return [{"name": n, "email": a} for n, a in getaddresses([value or ""]) if a]
 
 
 def utc_iso(value: str | None) -> str | None:
@@ -45,9 +46,10 @@ def parse(raw: bytes) -> dict:
     if plain is None:
         plain = next((p for p in m.walk() if p.get_content_type() == "text/plain" and not p.is_attachment()), None)
     files = []
-    for i, a in enumerate(m.iter_attachments()):
+    for a in m.iter_attachments():
         data = a.get_payload(decode=True) or b""
-        files.append({"filename": a.get_filename() or f"attachment-{i + 1}", "content_type": a.get_content_type(), "size_bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
+        digest = hashlib.sha256(data).hexdigest()
+        files.append({"filename": a.get_filename() or f"attachment-{digest[:8]}", "content_type": a.get_content_type(), "size_bytes": len(data), "sha256": digest})
     h = lambda n: str(m[n]) if m[n] is not None else None
     lists = {k: people(h(n)) for k, n in (("from", "From"), ("to", "To"), ("cc", "Cc"), ("bcc", "Bcc"), ("reply_to", "Reply-To"))}
     return {"message_id": h("Message-ID"), "date_raw": h("Date"), "date_iso": utc_iso(h("Date")), "subject": h("Subject"), **lists, "headers": {k: str(v) for k, v in m.items()}, "body_text": _content(plain) if plain is not None else None, "body_html": _content(rich) if rich is not None else None, "attachments": files}

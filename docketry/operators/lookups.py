@@ -36,11 +36,12 @@ def role_of(author: Column, initials: Column, rules: list[dict], default: str) -
 
 
 def with_fallback(df: DataFrame, directory: DataFrame, *, on: str, scope: str, value: str, any_scope: str = "*") -> DataFrame:
-    """Add ``value`` of the directory's row for (on, scope), else of its row for (on, any_scope). Directory keys are unique."""
+    """Add ``value`` of the directory's row for (on, scope), else of its row for (on, any_scope). Directory keys are unique; large directories are salted by the row's own values."""
+    salt = F.struct(*df.columns)
     exact = directory.select(on, scope, F.col(value).alias("_exact"))
     rest = directory.where(F.col(scope) == any_scope).select(on, F.col(value).alias("_any"))
-    out = checked_join(df, exact, [on, scope], "left", salt_on=F.rand(1))
-    out = checked_join(out, rest, [on], "left", salt_on=F.rand(2))
+    out = checked_join(df, exact, [on, scope], "left", salt_on=salt)
+    out = checked_join(out, rest, [on], "left", salt_on=salt)
     return out.withColumn(value, F.coalesce("_exact", "_any")).drop("_exact", "_any")
 
 

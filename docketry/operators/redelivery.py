@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.runtime import materialize
@@ -73,15 +74,59 @@ def first_copies(df: DataFrame, *, key: str, ident: Column, delivered: str, buck
 def superfluous_copies(df: DataFrame, *, key: str, ident: Column, delivered: str, bucket_days: int = 30) -> DataFrame:
     """All rows but the earliest of each identifier (equal times: the smallest key), with every column of ``df``.
 
-    Rows without identifier are no copies. The rows to keep are taken out by their key, which is unique,
-    so no task reads all copies of a hot identifier.
+    Rows without identifier are no copies. Only identifiers with several copies reach the join: their rows
+    to keep are taken out by key, which is unique, so no task reads all copies of a hot identifier.
     """
     keep = first_copies(df, key=key, ident=ident, delivered=delivered, bucket_days=bucket_days)
-    keep = keep.where(F.col("_copies") >= 1).select(F.col("_key").alias(key))
-    return df.where(ident.isNotNull()).join(keep, key, "left_anti")
+    return df.where(ident.isNotNull()).join(keep.select(F.col("_key").alias(key)), key, "left_anti")
 
 
 def deliver_once(df: DataFrame, *, key: str, ident: Column, delivered: str, bucket_days: int = 30) -> DataFrame:
     """Each message once: the earliest copy of every identifier, and all rows without identifier."""
-    extra = superfluous_copies(df, key=key, ident=ident, delivered=delivered, bucket_days=bucket_days).select(key)
-    return df.join(extra, key, "left_anti")
+    keep = first_copies(df, key=key, ident=ident, delivered=delivered, bucket_days=bucket_days).select(F.col("_key").alias(key))
+    return df.where(ident.isNotNull()).join(keep, key, "left_semi").unionByName(df.where(ident.isNull()))
+
+
+class MessageStore:
+    """Identifiers delivered so far, kept between batches: folders of entries and of filter words by time bucket.
+
+    ``accept`` takes a batch and gives its rows that were never seen before, one a message. Filters of all
+    buckets are read, one 64-bit word for each word number and bucket; entries only of the buckets whose
+    filter answers, so old storage is read for possible repeats alone. Entries and words of a batch are
+    written under its number, and a batch that is repeated after a failure reads none of its own number
+    and writes it again, so nothing is lost and nothing taken twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, bucket_days: int = 30, words: int = 1 << 20):
+        self.spark, self.path, self.days, self.words = spark, path.rstrip("/"), bucket_days, words
+
+    def _read(self, part: str, schema: str, batch: int) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}").where(F.col("_batch") != batch)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def accept(self, batch: DataFrame, number: int, *, key: str, ident: Column, delivered: str) -> DataFrame:
+        """Rows of the batch to keep: the earliest copy of every identifier not yet in the store, and rows without identifier."""
+        at = F.coalesce(F.col(delivered).cast("timestamp_ntz"), F.lit(_FAR).cast("timestamp_ntz"))
+        rows = batch.select(F.col(key).alias("_key"), at.alias("_at"), ident.alias("_ident")).where(F.col("_ident").isNotNull())
+        firsts = rows.groupBy("_ident").agg(F.min(F.struct("_at", "_key")).alias("_first"))
+        bucket = F.floor(F.datediff(F.col("_first._at").cast("date"), F.lit("1970-01-01").cast("date")) / self.days).cast("int")
+        mine = firsts.select("_ident", F.col("_first._key").alias("_key"), bucket.alias("_bucket"), F.pmod(F.xxhash64("_ident"), F.lit(self.words)).alias("_word"), _mask(F.col("_ident")).alias("_mask"))
+        mine = materialize(mine)
+        kind = dict(batch.dtypes)[key]
+        filters = self._read("filters", "_word bigint, _bits bigint, _bucket int, _batch bigint", number)
+        filters = filters.groupBy("_word", "_bucket").agg(F.bit_or("_bits").alias("_bits"))
+        asked = mine.join(filters.withColumnRenamed("_bucket", "_ask"), "_word").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select("_ident", "_ask")
+        asked = materialize(asked)
+        stored = self._read("entries", f"_ident string, _key {kind}, _bucket int, _batch bigint", number)
+        wanted = [r[0] for r in asked.select("_ask").distinct().collect()]  # buckets of a history: one a month
+        repeats = stored.where(F.col("_bucket").isin(wanted)).join(asked.withColumnRenamed("_ask", "_bucket"), ["_ident", "_bucket"], "left_semi").select("_ident").distinct()
+        new = materialize(mine.join(repeats, "_ident", "left_anti"))
+        stamped = new.withColumn("_batch", F.lit(number).cast("bigint"))
+        out = lambda df, part: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_bucket").parquet(f"{self.path}/{part}")
+        out(stamped.select("_ident", "_key", "_bucket", "_batch"), "entries")
+        out(stamped.groupBy("_word", "_bucket", "_batch").agg(F.bit_or("_mask").alias("_bits")), "filters")
+        return batch.where(ident.isNotNull()).join(new.select(F.col("_key").alias(key)), key, "left_semi").unionByName(batch.where(ident.isNull()))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docketry.functions.values import iso_prefix
 
+#: Letters of a name under which it is looked up.
+_HEAD = 4
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -24,11 +26,17 @@ def tag_entities(messages: DataFrame, entities: DataFrame, *, key: str, case: st
     mails = e.select("_c", "_e", F.explode("_m").alias("_x")).select("_c", "_e", F.lower("_x").alias("_x"))
     by_mail = found.join(mails, ["_c", "_x"]).select("_k", "_e")
     named = e.select("_c", "_e", F.explode("_n").alias("_n")).where(F.coalesce(F.col("_n"), F.lit("")) != "").select("_c", "_e", F.lower("_n").alias("_n")).distinct()
-    named = named.withColumn("_g", F.left("_n", F.lit(4)))
-    sizes = F.array(*[F.lit(i) for i in (1, 2, 3, 4)])
-    grams = F.flatten(F.transform(sizes, lambda s: F.when(F.length("_t") >= s, F.transform(F.sequence(F.lit(1), F.length("_t") - s + 1), lambda i: F.substring(F.col("_t"), i, s))).otherwise(F.array().cast("array<string>"))))
-    grown = m.select("_k", "_c", "_t", F.explode(F.array_distinct(grams)).alias("_g"))
-    by_name = grown.join(named, ["_c", "_g"]).where(F.contains("_t", "_n")).select("_k", "_e")
+    named = named.withColumn("_g", F.left("_n", F.lit(_HEAD)))
+    sizes = F.array(*[F.lit(i) for i in range(1, _HEAD + 1)])
+    starts = lambda s: F.transform(F.sequence(F.lit(1), F.length("_t") - s + 1), lambda i: F.substring(F.col("_t"), i, s))
+    grams = F.flatten(F.transform(sizes, lambda s: F.when(F.length("_t") >= s, starts(s)).otherwise(F.array().cast("array<string>"))))
+    # texts written alike are searched once; only their digests meet the names, and a text travels again for each name that may stand in it
+    digest = F.struct(F.xxhash64("_t"), F.xxhash64(F.lit(1), "_t"))
+    texts = m.select("_c", "_t").distinct().withColumn("_h", digest)
+    grown = texts.select("_c", "_h", F.explode(F.array_distinct(grams)).alias("_g"))
+    heads = grown.join(named, ["_c", "_g"]).select("_c", "_h", "_e", "_n")
+    held = texts.join(heads, ["_c", "_h"]).where(F.contains("_t", "_n")).select("_c", "_h", "_e")
+    by_name = m.select("_k", "_c", digest.alias("_h")).join(held, ["_c", "_h"]).select("_k", "_e")
     return by_mail.unionByName(by_name).distinct().select(F.col("_k").alias(key), F.col("_e").alias(entity))
 
 

@@ -454,12 +454,12 @@ def q41_wildcard_directory(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(lower(left(text, 24)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS s0 FROM documents), t AS (SELECT doc_id, coalesce(nullif(regexp_replace(s0, '-+$', ''), ''), 'ref') AS slug FROM s)
+WITH s AS (SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS s0 FROM documents), t AS (SELECT doc_id, coalesce(nullif(regexp_replace(s0, '-+$', ''), ''), 'ref') AS slug FROM s)
 SELECT doc_id, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS unique_slug FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS n FROM t)""")
 def q42_unique_slugs(spark: SparkSession, d: str) -> DataFrame:
     from docketry.operators.lookups import unique_slugs
 
-    docs = table(spark, d, "documents").select("doc_id", text.citation_slug(F.left("text", F.lit(24))).alias("slug"))
+    docs = table(spark, d, "documents").select("doc_id", text.citation_slug(F.col("text")).alias("slug"))
     return unique_slugs(docs, "slug", ["doc_id"]).select("doc_id", "unique_slug")
 
 

@@ -12,6 +12,8 @@ from docketry.plans.tables import table
 
 #: (table, key, stamp column, zone column)
 STAMPS = (("call_log", "call_id", "timestamp_raw", "device_zone"), ("reference_sidecars", "sidecar_no", "fetched_at", None), ("snapshot_entries", "entry_id", "mtime", None))
+#: Years in which all instants of these tables lie.
+STAMP_YEARS = (2015, 2030)
 #: (table, key)
 MESSAGES = (("correspondence", "delivery_id"), ("timeline_markers", "marker_id"))
 
@@ -22,7 +24,7 @@ def p1_normalized(spark: SparkSession, folder: str) -> DataFrame:
         for name, key, raw, zone in STAMPS
     ]
     stamps = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return normalize_timestamps(stamps, "raw", zone=F.col("zone"), out="utc_s", status="status").drop("zone")
+    return normalize_timestamps(stamps, "raw", zone=F.col("zone"), out="utc_s", status="status", micros="utc_us", years=STAMP_YEARS).drop("zone")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,7 +33,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence_changes(table(spark, folder, "snapshot_entries"))
+    return evidence_changes(table(spark, folder, "snapshot_entries"), STAMP_YEARS)
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:

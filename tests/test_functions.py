@@ -88,7 +88,7 @@ def test_html():
 def test_mail(spark):
     raw = b"From: Ann <ANN@x.org>\r\nTo: b@y.org, \"C, D\" <c@z.org>\r\nSubject: Hi\r\nDate: Mon, 22 Jan 2024 16:57:11 -0800\r\nMessage-ID: <1@x>\r\nContent-Type: text/plain\r\n\r\nBody text\r\n"
     r = spark.createDataFrame([(raw,), (None,)], "c binary").select(mail.parsed(F.col("c")).alias("m")).select("m.*").collect()[0]
-    assert r["from"][0]["email"] == "ann@x.org" and r.to[1]["name"] == "C, D" and r.date_iso == "2024-01-23T00:57:11+00:00" and r.body_text.strip() == "Body text"
+    assert r["from"][0]["email"] == "ANN@x.org" and r.to[1]["name"] == "C, D" and r.date_iso == "2024-01-23T00:57:11+00:00" and r.body_text.strip() == "Body text"
     assert mail.utc_iso("nonsense") is None and mail.people(None) == []
 
 

@@ -65,3 +65,15 @@ def test_every_printing_of_an_instant_reads_alike(spark, instants):
         rows += [(t, x) for x in (d.strftime("%Y-%m-%dT%H:%M:%SZ"), str(t), str(t * 1000), d.strftime("%m/%d/%Y %I:%M:%S %p"), d.strftime("%b %d, %Y %I:%M:%S %p GMT"), e.strftime("%a, %d %b %Y %H:%M:%S %z"), e.isoformat(), d.strftime("%Y%m%dT%H%M%SZ"))]
     got = normalize_timestamps(spark.createDataFrame(rows, "t bigint, raw string"), "raw").where("utc_s is null or utc_s <> t")
     assert got.count() == 0
+
+
+def test_years_are_a_parameter_and_fractions_are_kept(spark):
+    rows = [("2014-06-01T10:00:00.25Z",), ("2031-06-01T10:00:00Z",), ("1973-11-29T21:33:09Z",), ("1400000000123",), ("1400000000.5",), ("2036-07-01 12:00:00,123456 America/New_York",), ("20240102T030405.7Z",)]
+    df = spark.createDataFrame(rows, "raw string")
+    got = {r.raw: (r.utc_s, r.us) for r in normalize_timestamps(df, "raw", micros="us").collect()}
+    assert got["2014-06-01T10:00:00.25Z"] == (1401616800, 1401616800250000) and got["2031-06-01T10:00:00Z"][0] == 1938074400
+    assert got["1400000000123"] == (1400000000, 1400000000123000) and got["1400000000.5"] == (1400000000, 1400000000500000)
+    assert got["1973-11-29T21:33:09Z"][0] == 123456789 and got["20240102T030405.7Z"][1] % 1_000_000 == 700_000
+    assert got["2036-07-01 12:00:00,123456 America/New_York"][1] % 1_000_000 == 123456
+    few = {r.raw: r.utc_s for r in normalize_timestamps(df, "raw", years=(2015, 2030)).collect()}
+    assert [k for k, v in few.items() if v is not None] == ["20240102T030405.7Z"]
