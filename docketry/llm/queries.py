@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import lookalikes, mixing, packing, parties, personal, scans, tokens
 from docketry.plans.tables import table
+from docketry.runtime import materialize
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,22 +42,26 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, folder), table(spark, folder, "containers"))
 
 
-def _mix(spark: SparkSession, folder: str) -> DataFrame:
-    from docketry.runtime import materialize
-
-    return mixing.mix(materialize(tokens.document_sizes(table(spark, folder, "documents"))), table(spark, folder, "mix_targets"))
+def _mix(spark: SparkSession, folder: str, schedule: DataFrame | None = None) -> DataFrame:
+    sizes = materialize(tokens.document_sizes(table(spark, folder, "documents")))
+    return mixing.mix(sizes, table(spark, folder, "mix_targets"), schedule=schedule)
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return _mix(spark, folder).select("mix_id", "source", "doc_id", "n_tokens", "uses")
+    """How often each document is used, and at which training positions."""
+    return mixing.training_order(_mix(spark, folder), unused=True)
 
 
 def p8_order(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.training_order(_mix(spark, folder))
+    """A curriculum by a schedule table: references fade out, letters come in late, all else is even."""
+    knots = [("references", 0.0, 1.0), ("references", 1.0, 0.2), ("letters", 0.0, 0.2), ("letters", 0.5, 0.2), ("letters", 1.0, 1.0)]
+    targets = table(spark, folder, "mix_targets")
+    schedule = targets.select("mix_id", "source").distinct().join(spark.createDataFrame(knots, "source string, at double, weight double"), "source")
+    return mixing.training_order(_mix(spark, folder, schedule))
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.shares(_mix(spark, folder))
+    return mixing.shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

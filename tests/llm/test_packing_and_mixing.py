@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from docketry.llm.mixing import mix, plan_mixes, shares, training_order
+from docketry.llm.mixing import mix, plan_mixes, segments_of, shares, training_order
 from docketry.llm.packing import batch_patterns, bucket_bounds, fill_report, pack
 from docketry.llm.tokens import encoding, token_count
 
@@ -48,15 +49,35 @@ def test_plan_and_shares(spark):
     targets = spark.createDataFrame([("m", "big", 0.4, 1), ("m", "small", 0.4, 3), ("m", "mid", 0.2, 2), ("m", "mid", 0.2, 2), ("e", "big", 0.5, 1), ("e", "absent", 0.5, 9)], "mix_id string, source string, target_share double, max_repeats int")
     used = mix(sizes, targets)
     cap = {"big": 1, "small": 3, "mid": 2}
-    assert all(r.uses <= cap[r.source] for r in used.where("mix_id = 'm'").collect()) and used.where("mix_id = 'e' and uses > 0").count() == 0
+    assert all(r.uses <= cap[r.source] for r in used.where("mix_id = 'm'").collect()) and used.where("mix_id = 'e' and uses = 1 and source = 'big'").count() == 2000
     assert used.groupBy("mix_id", "doc_id").count().where("count > 1").count() == 0
-    got = {r.source: r for r in shares(used).where("mix_id = 'm'").collect()}
+    got = {r.source: r for r in shares(used, targets).where("mix_id = 'm'").collect()}
+    assert {(r.source, r.reached_share) for r in shares(used, targets).where("mix_id = 'e'").collect()} == {("big", 1.0), ("absent", 0.0)}
     assert all(abs(r.target_share - r.reached_share) < 0.005 for r in got.values())
     order = training_order(used).collect()
     assert len(order) == used.agg(F.sum("uses")).first()[0] and all(0 <= r.position <= 1 for r in order)
-    assert [r.position for r in order] == sorted(r.position for r in order)
+    assert [(r.mix_id, r.position) for r in order] == sorted((r.mix_id, r.position) for r in order)
     assert mix(sizes.limit(0), targets).count() == 0
-    assert plan_mixes([("a", 100, 10)], [("m", "a", 1.0, 2)], 0.5, 150)[0][5:7] == (1, 50.0)
+    assert plan_mixes([("a", 100, 10)], [("m", "a", 1.0, 2)], {}, 150)[0][5:7] == (1, 50.0)
+
+
+def test_positions_follow_a_schedule_table(spark):
+    """The tokens of a source before time t are the integral of its weights, whatever the schedule."""
+    rows = [(i, "ab"[i % 2], 3 + i % 5) for i in range(4000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    knots = {"a": [(0.0, 0.0), (0.25, 4.0), (0.5, 0.0), (1.0, 1.0)], "b": [(0.5, 2.0)]}
+    schedule = spark.createDataFrame([("m", s, t, w) for s, ks in knots.items() for t, w in ks] + [("m", "a", None, 1.0)], "mix_id string, source string, at double, weight double")
+    order = training_order(mix(sizes, targets, schedule=schedule)).collect()
+    grid = np.linspace(0, 1, 4001)
+    for s, ks in knots.items():
+        w = np.interp(grid, *zip(*ks))
+        area = np.concatenate(([0.0], np.cumsum((w[1:] + w[:-1]) / 2)))
+        mine = sorted((r.position, r.n_tokens) for r in order if r.source == s)
+        whole = sum(n for _, n in mine)
+        for t in (0.1, 0.3, 0.5, 0.8):
+            assert abs(sum(n for p, n in mine if p <= t) / whole - np.interp(t, grid, area / area[-1])) < 0.005
+    assert segments_of([]) == segments_of([(0.3, -1.0)]) == [(0.0, 1.0, 0.0, 0.0, 1.0)]
 
 
 def test_token_counts(spark):
