@@ -1,5 +1,7 @@
+import math
 import random
 import unicodedata
+from collections import Counter
 
 from docketry.llm.lookalikes import CYRILLIC_TWINS, GREEK_TWINS, Decoder, canonical_texts, look_classes, look_pairs, pair_counts, skeleton
 
@@ -55,3 +57,33 @@ def test_hot_group_of_exact_copies_gives_no_pairs(spark):
 def test_very_long_text():
     d = Decoder({})
     assert len(d.canonical("о" * 100_000 + " " + "word " * 20_000)) == 200_001
+
+
+READ = {"the Ӏetter": "the letter", "my Ӏnsurance": "my Insurance", "in 2߀24": "in 2024", "the r߀ad": "the road", "a ǀabeǀ": "a label", "Ӏt is": "It is", "1З5 miles": "135 miles", "Закон": "Закон", "caӏӏ me": "call me"}
+
+
+def test_search_decides_signs_with_several_readings():
+    """With counts of letter pairs the word tells the reading; without them most are wrong."""
+    corpus = ["The letter and the Insurance label; It is on Oak Road 2024, the road 135 miles long. Call me, all is well. Закон о сроке, см. Заявление"] * 3
+    counts = pair_counts(corpus)
+    heads = Counter()
+    for (k, p), n in counts.items():
+        heads[k, p[0]] += n
+    model = {(k, p): math.log((n + 0.1) / (heads[k, p[0]] + 20)) for (k, p), n in counts.items()}
+    right = lambda d: sum(d.canonical(a) == b for a, b in READ.items())
+    assert right(Decoder(model)) == len(READ) and right(Decoder({})) < len(READ) - 2
+
+
+def test_letters_of_other_scripts_and_visible_joiners():
+    d = Decoder({})
+    assert d.canonical("ⅼetter") == "letter" and d.canonical("cօpy") == "copy" and d.canonical("ᎪB ꓑ") == "AB P"
+    assert d.canonical("می‌خواهم") != d.canonical("میخواهم") and d.canonical("cl‌aim") == "claim" and d.canonical("क‍ष‌") == "क‍ष"
+    assert d.canonical("می‌‌خواهم") == d.canonical("می‌خواهم")
+
+
+def test_one_variant_beside_many_copies(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "case when id = 7 then 'thе same text' else 'the same text' end as text")
+    got = look_pairs(df).collect()
+    assert len(got) == 3999 and all(7 in (r.doc_a, r.doc_b) and r.doc_a < r.doc_b for r in got)
+    links = {r.doc_id: r.links for r in look_classes(df).collect()}
+    assert links[7] == 3999 and links[8] == 1
