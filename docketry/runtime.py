@@ -49,6 +49,11 @@ def checked_join(
     small = materialize(small)
     if small.count() <= limit:
         return big.join(F.broadcast(small), on, how)
+    return salted_join(big, small, on, how, salt_on=salt_on, salts=salts)
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", *, salt_on: Column, salts: int = 8) -> DataFrame:
+    """Join in which the rows of one key of ``big`` are spread over ``salts`` tasks, to each of which ``small`` is copied."""
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
