@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.given_names import GIVEN, NICKNAMES, TITLES
-from docketry.runtime import materialize
+from docketry.runtime import materialize, salted_join
 
 # Words of organisation names and their short forms.
 ORG_WORDS = {
@@ -86,11 +86,11 @@ def likeness(a: str, b: str) -> float:
     return s + min(4, head) * 0.05 * (1 - s)
 
 
-def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], like=likeness) -> float:
     """Mean over the words of each name of the best likeness in the other name; the smaller of both directions."""
     if not a or not b:
         return 0.0
-    one = lambda x, y: sum(max(likeness(p, r) for r in y) for p in x) / len(x)
+    one = lambda x, y: sum(max(like(p, r) for r in y) for p in x) / len(x)
     return min(one(a, b), one(b, a))
 
 
@@ -105,6 +105,26 @@ def given_of(word: str) -> str:
     return NICKNAMES.get(near[0], near[0]) if len({NICKNAMES.get(g, g) for g in near}) == 1 else word
 
 
+#: Monge-Elkan similarity from which the names of two people, or the telling words of two organisations, may be one.
+PERSON_ALIKE, ORG_ALIKE = 0.80, 0.78
+
+
+@lru_cache(maxsize=200_000)
+def part_likeness(a: str, b: str) -> float:
+    """Likeness of two parts of people's names: short forms count as their long form, an initial as most of a name that begins with it."""
+    x, y = given_of(a), given_of(b)
+    if a == b or x == y:
+        return 1.0
+    if len(a) == 1 or len(b) == 1:
+        one, full, long = (a, b, y) if len(a) == 1 else (b, a, x)
+        return 0.9 if one in (full[:1], long[:1]) else 0.0
+    return max(likeness(a, b), likeness(x, y))
+
+
+def person_words(p: dict) -> tuple[str, ...]:
+    return tuple(w for w in (*re.split(r"[ -]", p["last"]), p["first"]) if w)
+
+
 @lru_cache(maxsize=20_000)
 def org_word(word: str) -> str | None:
     if word in ORG_WORDS:
@@ -210,15 +230,23 @@ def profile(names: list[str], emails: list[str]) -> dict:
 
 
 def keys_of(prof: dict) -> set[str]:
-    """Blocking keys: bands of the telling words, initials of organisations, personal mailboxes."""
+    """Blocking keys: bands of the telling words, initials of organisations, personal mailboxes.
+
+    Bands of a surname are keyed with the initial of the given name and of its long form, as people of one
+    surname alone are no candidates; a given name whose first letter is mistyped is found by its rest
+    beside the same surname, a surname with many mistakes by its initial beside the same given name. Initials of full names (``x:``) meet only names known by initials (``y:``).
+    """
     out: set[str] = set()
     for p in prof["n"]:
         if p["k"] == "p":
-            for w in re.split(r"[ -]", p["last"]):
-                if len(w) > 1:
-                    out.update(band_keys(w))
             if p["last"] and p["first"]:
-                out.add("a:" + p["first"][0] + p["last"][0])
+                starts = {p["first"][0], given_of(p["first"])[0]}
+                for w in re.split(r"[ -]", p["last"]):
+                    if len(w) > 1:
+                        out.update(f"{k}|{i}" for k in band_keys(w) for i in starts)
+                if len(p["first"]) > 1:
+                    out.update((f"t:{p['last']}|{given_of(p['first'])[1:]}", f"u:{given_of(p['first'])}|{p['last'][0]}"))
+                out.add("x:" + p["first"][0] + p["last"][0])
             elif p["first"]:
                 out.add("f:" + p["first"])
         elif p["k"] == "w":
@@ -229,9 +257,9 @@ def keys_of(prof: dict) -> set[str]:
                     out.update(band_keys(w))
             if not p["lead"]:
                 out.add("f:" + " ".join(sorted(p["rest"])))
-            out.add("a:" + p["acr"])
+            out.add("x:" + p["acr"])
         else:
-            out.add("a:" + p["acr"])
+            out.update(("y:" + p["acr"], "A:" + p["acr"]))
     out.update("m:" + m for m in prof["m"])
     return out
 
@@ -264,12 +292,14 @@ def compare(p: dict, q: dict) -> int:
             return _NO
         if not _cased(a) or not _cased(b):
             return _SAME if a == b else _CONFLICT
+        alike = monge_elkan(person_words(p), person_words(q), part_likeness) >= PERSON_ALIKE
         if len(a) == 1 or len(b) == 1:
             full, one = (b, a) if len(a) == 1 else (a, b)
-            if full[0] == one or given_of(full)[0] == one:
-                return 2 if p["mid"] and q["mid"] else _MAYBE
+            if part_likeness(full, one) > 0:
+                return (2 if p["mid"] and q["mid"] else _MAYBE) if alike else _NO
             return _CONFLICT
-        if given_of(a) == given_of(b) or _near(given_of(a), given_of(b)) and not (given_of(a) in GIVEN and given_of(b) in GIVEN) or edits(a, b) <= 1:
+        two_known = given_of(a) != given_of(b) and given_of(a) in GIVEN and given_of(b) in GIVEN
+        if alike and (edits(a, b) <= 1 or part_likeness(a, b) >= 0.72 and not two_known):
             return _SAME if not (bool(p["suf"]) ^ bool(q["suf"])) else 2
         return _CONFLICT
     if p["k"] == "o" and q["k"] == "o":
@@ -277,7 +307,7 @@ def compare(p: dict, q: dict) -> int:
             return _SAME if sorted(p["rest"]) == sorted(q["rest"]) and sorted(p["acr"]) == sorted(q["acr"]) else _NO
         if not p["lead"] or not q["lead"]:
             return _NO
-        if monge_elkan(tuple(p["lead"]), tuple(q["lead"])) < 0.78:
+        if monge_elkan(tuple(p["lead"]), tuple(q["lead"])) < ORG_ALIKE:
             return _NO
         a, b = set(p["rest"]), set(q["rest"])
         kinds = {"company", "corporation", "group", "center", "services", "associates", "and"}
@@ -316,41 +346,67 @@ def strength(x: dict, y: dict) -> float:
 
 # tables ------------------------------------------------------------------------------------------
 
-_PROFILE = "case_id string, kind int, id bigint, prof string, keys array<string>"
+_PROFILE = "case_id string, kind int, id bigint, prof string, sure boolean, keys array<bigint>, asks array<bigint>"
+#: Rows of one blocking key from which the key's rows are spread over salts.
+HOT = 1_000
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
-    """rows: (case_id, kind, id, names, emails) -> profiles with their blocking keys."""
+    """rows: (case_id, kind, id, names, emails) -> profiles with the digests of their blocking keys.
+
+    ``keys`` are what a profile is found by, ``asks`` what it looks for: the same, but for initials, which
+    full names and names known by initials look for in each other. ``sure``: a second row of the same
+    profile is the same party.
+    """
 
     def build(batches):
+        import xxhash
+
         for b in batches:
             profs = [profile([*(n if n is not None else [])], [*(m if m is not None else [])]) for n, m in zip(b["names"], b["emails"])]
-            yield pd.DataFrame({"case_id": b["case_id"], "kind": b["kind"], "id": b["id"], "prof": [json.dumps(p) for p in profs], "keys": [sorted(keys_of(p)) for p in profs]})
+            keys, asks = [], []
+            for case, p in zip(b["case_id"], profs):
+                found = sorted(keys_of(p))
+                digest = lambda k, case=case: xxhash.xxh64_intdigest(f"{case}\t{k}") - (1 << 63)
+                keys.append([digest(k) for k in found])
+                asks.append([digest({"x:": "y:", "y:": "x:"}.get(k[:2], k[:2]) + k[2:]) for k in found])
+            yield pd.DataFrame({"case_id": b["case_id"], "kind": b["kind"], "id": b["id"], "prof": [json.dumps(p) for p in profs], "sure": [strength(p, p) >= 2 for p in profs], "keys": keys, "asks": asks})
 
-    return rows.mapInPandas(build, _PROFILE)
+    spread = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(spread, "id").mapInPandas(build, _PROFILE)
 
 
 def _strengths(a: pd.Series, b: pd.Series) -> pd.Series:
     loads = lru_cache(maxsize=50_000)(json.loads)
-    return pd.Series([strength(loads(x), loads(y)) for x, y in zip(a, b)], dtype="float64")
+    score = lru_cache(maxsize=50_000)(lambda x, y: strength(loads(x), loads(y)))
+    return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _candidates(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
-    """Distinct (case_id, a, b) that share a blocking key in a case; each pair once, whatever the number of keys it shares."""
-    l = left.select("case_id", F.col("id").alias("a"), F.explode("keys").alias("key"))
-    r = right.select("case_id", F.col("id").alias("b"), F.explode("keys").alias("key"))
-    pairs = l.join(r, ["case_id", "key"])
-    return (pairs.where(F.col("a") < F.col("b")) if same else pairs).select("case_id", "a", "b").distinct()
+    """Distinct (a, b) that share a blocking key; each pair once, whatever the number of keys it shares.
+
+    The rows of a key that many share are compared in blocks: one side's are spread over salts, to each of
+    which the other's are copied.
+    """
+    l = left.select(F.col("id").alias("a"), F.explode("asks").alias("key"))
+    r = right.select(F.col("id").alias("b"), F.explode("keys").alias("key"))
+    hot = materialize(l.groupBy("key").count().where(F.col("count") >= HOT).select("key"))
+    pairs = l.join(r, "key") if hot.isEmpty() else l.join(hot, "key", "left_anti").join(r, "key")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(salted_join(l.join(hot, "key", "left_semi"), r.join(hot, "key", "left_semi"), ["key"], salt_on=F.col("a"), salts=32))
+    return (pairs.where(F.col("a") < F.col("b")) if same else pairs).select("a", "b").distinct()
 
 
 def _scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(case_id, a, b, s) of the pairs of one case whose names and mailboxes tie them."""
     l = left.select("case_id", F.col("id").alias("a"), F.col("prof").alias("pa"))
-    r = right.select("case_id", F.col("id").alias("b"), F.col("prof").alias("pb"))
-    return pairs.join(l, ["case_id", "a"]).join(r, ["case_id", "b"]).select("case_id", "a", "b", F.pandas_udf(_strengths, "double")("pa", "pb").alias("s")).where(F.col("s") > 0)
+    r = right.select(F.col("case_id").alias("other"), F.col("id").alias("b"), F.col("prof").alias("pb"))
+    met = pairs.join(l, "a").join(r, "b").where(F.col("case_id") == F.col("other"))
+    return met.select("case_id", "a", "b", F.pandas_udf(_strengths, "double")("pa", "pb").alias("s")).where(F.col("s") > 0)
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(case_id, id, center): star clustering of a weighted graph, in rounds of joins.
+    """(case_id, id, center): star clustering of a weighted graph, in rounds of joins. Nodes may have ``copies``, which count in the weight of their neighbours and their own.
 
     In each round every free node that is stronger (sum of its edges' strength, then smaller id) than all
     its free neighbours becomes a centre, and its free neighbours join the centre they are tied to most
@@ -358,7 +414,12 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     node is beaten by none, so each settles at least one. Each is cut off by a checkpoint and moves only ids.
     """
     both = materialize(edges.select("case_id", F.col("a").alias("id"), F.col("b").alias("to"), "s").unionByName(edges.select("case_id", F.col("b").alias("id"), F.col("a").alias("to"), "s")))
-    weight = both.groupBy("case_id", "id").agg(F.sum("s").alias("w"))
+    if "copies" in nodes.columns:
+        size = nodes.select("case_id", "id", "copies")
+        near = both.join(size.select("case_id", F.col("id").alias("to"), "copies"), ["case_id", "to"]).groupBy("case_id", "id").agg(F.sum(F.col("s") * F.col("copies")).alias("w"))
+        weight = near.join(size, ["case_id", "id"]).select("case_id", "id", (F.col("w") + 3.0 * (F.col("copies") - 1)).alias("w"))
+    else:
+        weight = both.groupBy("case_id", "id").agg(F.sum("s").alias("w"))
     lone = nodes.join(weight, ["case_id", "id"], "left_anti").select("case_id", "id", F.col("id").alias("center"))
     free = materialize(weight)
     done = [lone]
@@ -384,16 +445,24 @@ def _entity_rows(entities: DataFrame) -> DataFrame:
     return keyed.select("case_id", F.lit(0).alias("kind"), F.col("entity_no").alias("id"), names.alias("names"), F.col("match_emails").alias("emails"))
 
 
-def _clustered(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    profs = materialize(_profiles(_entity_rows(entities)))
+def _clustered(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles of one row each of equal entities, their clusters, the row that stands for each entity)."""
+    every = materialize(_profiles(_entity_rows(entities)))
+    own = F.when(~F.col("sure"), F.col("id"))
+    groups = every.groupBy("case_id", "prof", own.alias("own")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    stands = every.select("case_id", "prof", own.alias("own"), F.col("id").alias("entity_no"))
+    same = groups.select(F.col("case_id").alias("c2"), F.col("prof").alias("p2"), F.col("own").alias("o2"), "id")
+    stands = stands.join(same, (F.col("case_id") == F.col("c2")) & (F.col("prof") == F.col("p2")) & F.col("own").eqNullSafe(F.col("o2"))).select("case_id", "entity_no", "id")
+    profs = materialize(every.join(groups.select("case_id", "id", "copies"), ["case_id", "id"]))
     scored = materialize(_scored(_candidates(profs, profs, True), profs, profs))
     # a weak tie counts only where it is the only kind of tie between its ends' surroundings
     sure = scored.where(F.col("s") >= 2)
-    core = star_clusters(profs.select("case_id", "id"), sure)
+    core = star_clusters(profs.select("case_id", "id", "copies"), sure)
     # rows known by initials alone join the one cluster that they fit
     ends = scored.where(F.col("s") < 2)
     weak = ends.select("case_id", F.col("a").alias("id"), F.col("b").alias("to")).unionByName(ends.select("case_id", F.col("b").alias("id"), F.col("a").alias("to")))
-    sizes = core.groupBy("case_id", "center").agg(F.count("*").alias("size"))
+    counted = core.join(profs.select("case_id", "id", "copies"), ["case_id", "id"])
+    sizes = counted.groupBy("case_id", "center").agg(F.sum("copies").alias("size"))
     at = core.join(sizes, ["case_id", "center"])
     lone = at.where(F.col("size") == 1).select("case_id", "id")
     fits = weak.join(lone, ["case_id", "id"]).join(at.select("case_id", F.col("id").alias("to"), F.col("center").alias("home"), "size"), ["case_id", "to"])
@@ -405,28 +474,36 @@ def _clustered(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     back = pick.select("case_id", F.col("id").alias("home"), F.col("home").alias("back"))
     moved = pick.join(back, ["case_id", "home"], "left").withColumn("center2", F.when(F.col("back").isNull(), F.col("home")).when(F.col("back") == F.col("id"), F.least("id", "home")).otherwise(F.col("back")))
     out = core.join(moved.select("case_id", "id", "center2"), ["case_id", "id"], "left").select("case_id", "id", F.coalesce("center2", "center").alias("center"))
-    return profs, materialize(out)
+    return profs, materialize(out), stands
+
+
+def _members(clusters: DataFrame, stands: DataFrame) -> DataFrame:
+    """(case_id, entity_no, id, party_no): every entity row with the row that stands for it and the smallest of its party."""
+    heads = clusters.groupBy("case_id", "center").agg(F.min("id").alias("party_no"))
+    return stands.join(clusters.join(heads, ["case_id", "center"]).select("case_id", "id", "party_no"), ["case_id", "id"])
 
 
 def party_members(entities: DataFrame) -> DataFrame:
-    """One row per entity: (case_id, entity_no, party_no), party_no being the smallest entity_no of its party."""
-    _, members = _clustered(entities)
-    heads = members.groupBy("case_id", "center").agg(F.min("id").alias("party_no"))
-    return members.join(heads, ["case_id", "center"]).select("case_id", F.col("id").alias("entity_no"), "party_no")
+    """One row per entity: (case_id, entity_no, party_no, links), party_no being the smallest entity_no of its party, links the number of its other rows."""
+    _, clusters, stands = _clustered(entities)
+    members = materialize(_members(clusters, stands).select("case_id", "entity_no", "party_no"))
+    sizes = members.groupBy("party_no").agg((F.count("*") - 1).alias("links"))
+    return salted_join(members, sizes, ["party_no"], salt_on=F.col("entity_no")).select("case_id", "entity_no", "party_no", "links")
 
 
 def party_pairs(entities: DataFrame, calls: DataFrame) -> DataFrame:
     """(src, left_id, right_id): pairs of entity rows of one party, and calls with the first row of the caller's party.
 
-    Rows without id or case, and names that are null or empty, match nothing. Exact copies of a name in
-    a case are compared once.
+    Rows without id or case, and names that are null or empty, match nothing. Entity rows that tell the
+    same, and exact copies of a caller's name in a case, are compared once; pairs are formed only inside a
+    party, spread over salts.
     """
-    profs, members = _clustered(entities)
-    heads = members.groupBy("case_id", "center").agg(F.min("id").alias("party_no"))
-    homes = materialize(members.join(heads, ["case_id", "center"]))
-    left = homes.select("case_id", "center", F.col("id").alias("left_id"))
-    right = homes.select("case_id", "center", F.col("id").alias("right_id"))
-    pairs = left.join(right, ["case_id", "center"]).where(F.col("left_id") < F.col("right_id")).select(F.lit("entities").alias("src"), "left_id", "right_id")
+    profs, clusters, stands = _clustered(entities)
+    members = materialize(_members(clusters, stands))
+    homes = members.select("case_id", "id", "party_no").distinct()
+    right = members.select("party_no", F.col("entity_no").alias("right_id"))
+    pairs = salted_join(members.select("party_no", F.col("entity_no").alias("left_id")), right, ["party_no"], salt_on=F.col("left_id"))
+    pairs = pairs.where(F.col("left_id") < F.col("right_id")).select(F.lit("entities").alias("src"), "left_id", "right_id")
     named = calls.where(F.col("name").isNotNull() & (F.trim("name") != "") & F.col("case_id").isNotNull())
     named = named.join(profs.select("case_id").distinct(), "case_id", "left_semi")
     forms = named.groupBy("case_id", "name").agg(F.min("call_id").alias("id"))

@@ -1,4 +1,5 @@
-from docketry.llm.parties import LEAST_SIMILAR, RECALL, ROWS, band_keys, bands_for, compare, edits, keys_of, likeness, monge_elkan, parse, party_members, party_pairs, profile, strength
+from docketry.llm import parties
+from docketry.llm.parties import LEAST_SIMILAR, RECALL, ROWS, band_keys, bands_for, compare, edits, keys_of, likeness, monge_elkan, parse, part_likeness, party_members, party_pairs, profile, star_clusters, strength
 
 
 def test_names():
@@ -46,7 +47,6 @@ def test_parties_of_a_case(spark):
 
 
 def test_clusters_of_a_long_chain(spark):
-    from docketry.llm.parties import star_clusters
 
     n = 66  # falling strengths: one centre and its neighbours a round, 33 rounds
     nodes = spark.createDataFrame([("c", i) for i in range(n)], "case_id string, id bigint").coalesce(1)
@@ -68,3 +68,24 @@ def test_names_that_parse_poorly():
     ):
         assert not same(a, b), (a, b)
     assert parse("whiterridge kd") == parse("Whiterridge KD") == parse("WHITERRIDGE KD") == parse("Whiterridge, K. D.")
+
+
+def test_a_long_path_of_rising_weights_keeps_all_nodes(spark):
+    nodes = spark.createDataFrame([("c", i) for i in range(100)], "case_id string, id bigint")
+    edges = spark.createDataFrame([("c", i, i + 1, 2.0 + i / 100) for i in range(99)], "case_id string, a bigint, b bigint, s double")
+    got = star_clusters(nodes, edges).collect()
+    assert sorted(r.id for r in got) == list(range(100)) and all(abs(r.id - r.center) <= 1 for r in got)
+
+
+def test_copies_and_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(parties, "HOT", 20)
+    rows = [(i, "c1", f"e{i}", "neutral", None, ["Jonathan Merriweather"] if i % 3 else ["Jon Meriweather"], None) for i in range(60)] + [(100, "c1", "x", None, None, ["Merriweather"], None), (101, "c1", "y", None, None, ["Merriweather"], None)]
+    df = spark.createDataFrame(rows, "entity_no bigint, case_id string, entity_id string, role string, display_name string, match_names array<string>, match_emails array<string>")
+    got = {r.entity_no: (r.party_no, r.links) for r in party_members(df).collect()}
+    assert len(got) == 62 and all(got[i] == (0, 59) for i in range(60)) and got[100] == (100, 0) and got[101] == (101, 0)
+
+
+def test_monge_elkan_over_the_parts_of_peoples_names():
+    like = lambda a, b: monge_elkan(tuple(a.split()), tuple(b.split()), part_likeness)
+    assert like("smith bob", "smith robert") == 1.0 and like("smith r", "smith robert") > 0.9 and like("smyth robert", "smith robert") > 0.8
+    assert like("smith robert", "jones robert") < 0.8 and like("smith anna", "smith walter") < 0.8
