@@ -17,12 +17,17 @@ def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repaired_paragraphs(table(spark, folder, "page_results"), table(spark, folder, "extraction_results"))
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """Key of the pseudonyms: the session's ``spark.docketry.pseudonymKey``; without it a fixed key, for tests only."""
+    return spark.conf.get("spark.docketry.pseudonymKey", "test key of no use elsewhere").encode()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.found_items(table(spark, folder, "call_log"), table(spark, folder, "extraction_results")).select("src", "row_id", "start_pos", "kind")
+    return personal.found_items(table(spark, folder, "call_log"), table(spark, folder, "extraction_results"), pseudonym_key(spark)).select("src", "row_id", "start_pos", "kind")
 
 
 def p4_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.scrubbed_texts(table(spark, folder, "call_log"), table(spark, folder, "extraction_results"), b"docketry")
+    return personal.scrubbed_texts(table(spark, folder, "call_log"), table(spark, folder, "extraction_results"), pseudonym_key(spark))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
