@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.lookalikes import CYRILLIC_TWINS, GREEK_TWINS
+from docketry.runtime import materialize, salted_join
 
 # What a scanner's reader writes -> what the paper says.
 CONFUSIONS = (
@@ -21,7 +22,7 @@ CONFUSIONS = (
 _SEEN: dict[str, tuple[str, ...]] = {s: tuple(m for x, m in CONFUSIONS if x == s) for s, _ in CONFUSIONS}
 #: A misread spelling must be this much rarer than the word it stands for.
 RATIO = 12
-#: Relative frequency from which words and furniture lines are kept, which bounds both tables by its inverse.
+#: Relative frequency from which words are kept, which bounds their table by its inverse; it lies below the share from which a word counts as known.
 LEAST_SHARE = 2e-6
 #: Number of words up to which word limits are counts; in larger corpora they grow in step, so that they stay shares.
 WORDS = 840_000
@@ -67,33 +68,30 @@ def _ends_sentence(line: str) -> bool:
 class Reader:
     """Decodes lines with a lexicon of counts; results for tokens are kept."""
 
-    def __init__(self, lexicon: dict[str, int], furniture: set[str]):
-        self.lexicon, self.furniture, self.known, self.judged = lexicon, furniture, {}, {}
+    def __init__(self, lexicon: dict[str, int]):
+        self.lexicon, self.known, self.judged, self.parts = lexicon, {}, {}, {}
         self.total = max(1, sum(lexicon.values()))
         self.scale = max(1.0, self.total / WORDS)
-        self.words: list[str] = []
+        self.words = sorted(lexicon)
         self.endings: list[str] = []
-        self.by_length: dict[int, list[str]] = {}
-        for f in furniture:
-            self.by_length.setdefault(len(f) // 4, []).append(f)
 
     # furniture -----------------------------------------------------------------------------------
 
-    def is_furniture(self, line: str, own: frozenset[str] = frozenset()) -> bool:
+    def is_furniture(self, line: str, seen: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> bool:
         m = mask(line)
         words = re.findall(r"[^\W\d_]{3,}", line)
         lower = sum(w[0].islower() for w in words) > 0.34 * len(words)
         if "#" not in m and lower:
             return False
-        if m in self.furniture or m in own and not lower:  # two pages alone do not tell a header from a sentence with other numbers
+        if m in seen or m in own and not lower:  # two pages alone do not tell a header from a sentence with other numbers
             return True
         if "�" in m:
             p = re.compile(re.sub("�+", ".{1,3}", re.escape(m).replace(re.escape("�"), "�")))
-            return any(p.fullmatch(f) for k in (len(m) // 4 - 1, len(m) // 4, len(m) // 4 + 1) for f in self.by_length.get(k, ()))
+            return any(p.fullmatch(f) for f in seen)
         return False
 
-    def running(self, lines: list[str], pages: bool, own: frozenset[str] = frozenset()) -> set[int]:
-        """Numbers of running headers, footers and page numbers; ``pages``: the text is one page, not several on end; ``own``: masks of the document's own furniture."""
+    def running(self, lines: list[str], pages: bool, seen: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> set[int]:
+        """Numbers of running headers, footers and page numbers; ``pages``: the text is one page, not several on end; ``seen``: the document's masks that the corpus tells to be furniture; ``own``: masks at the edges of several of its pages."""
         edge, _ = edge_lines(lines)
         out: set[int] = set()
         full = [i for i, x in enumerate(lines) if x.strip()]
@@ -101,7 +99,7 @@ class Reader:
             s = lines[i]
             if _FAX.match(s) or _STRONG_NO.match(s) or _STAMP_NO.match(s):
                 out.add(i)
-            elif (i in edge or not pages) and not _ends_sentence(s) and self.is_furniture(s, own):
+            elif (i in edge or not pages) and not _ends_sentence(s) and self.is_furniture(s, seen, own):
                 out.add(i)
             elif _PAGE_NO.match(s) and (k in (0, 1) or k >= len(full) - 2):
                 out.add(i)
@@ -124,20 +122,36 @@ class Reader:
     def count(self, word: str) -> int:
         return self.lexicon.get(word.lower(), 0)
 
+    def walks(self, letters: str, start: int, most: int):
+        """(end, word, confusions) of all known words that the letters from ``start`` on may be, with at most ``most`` confusions.
+
+        The sorted words are walked like a tree of prefixes, so a reading goes on only while some word begins
+        so; neither the length of the letters nor the number of readings is limited.
+        """
+        words, n = self.words, len(letters)
+        stack = [(start, "", 0, 0, len(words))]
+        while stack:
+            i, built, made, lo, hi = stack.pop()
+            if built and words[lo] == built:
+                yield i, built, made
+            if i == n:
+                continue
+            steps = [(1, letters[i], 0)]
+            if made < most:
+                steps += [(k, meant, 1) for k in (1, 2) for meant in _SEEN.get(letters[i : i + k], ()) if i + k <= n]
+            for k, put, cost in steps:
+                longer = built + put
+                a = bisect_left(words, longer, lo, hi)
+                b = bisect_left(words, longer + "\U0010ffff", a, hi)
+                if a < b:
+                    stack.append((i + k, longer, made + cost, a, b))
+
     def candidates(self, word: str, depth: int = 2):
-        seen, layer = {word}, [word]
+        """(confusions, spelling) of a token with up to ``depth`` confusions undone, known or not; for tokens with lost letters only, whose other letters are few."""
+        layer = {word}
         for d in range(depth):
-            new = []
-            for w in layer:
-                for n in (1, 2):
-                    for i in range(len(w) - n + 1):
-                        for meant in _SEEN.get(w[i : i + n], ()):
-                            c = w[:i] + meant + w[i + n :]
-                            if c not in seen:
-                                seen.add(c)
-                                new.append(c)
-                                yield d + 1, c
-            layer = new if len(new) < 400 else []
+            layer = {w[:i] + meant + w[i + n :] for w in layer for n in (1, 2) for i in range(len(w) - n + 1) for meant in _SEEN.get(w[i : i + n], ())}
+            yield from ((d + 1, c) for c in layer)
 
     def meant(self, word: str) -> str:
         """The word the paper says: the likeliest of the spelling itself and its confusions (Viterbi over the word's lattice)."""
@@ -151,9 +165,10 @@ class Reader:
             return best
         own = self.lexicon.get(w, 0)
         best, need = w, 0.0
-        depth = 2 if own < 8 * self.scale and len(w) < 24 else 1
-        for edits, c in self.candidates(w, depth):
-            n = self.lexicon.get(c, 0)
+        for end, c, edits in self.walks(w, 0, 2 if own < 8 * self.scale else 1):
+            if end < len(w) or c == w:
+                continue
+            n = self.lexicon[c]
             if n >= 3 * self.scale and n > RATIO ** edits * max(own, (0.25 if not w.isalpha() else 0.4) * self.scale) and n / 4**edits > need and (len(c) > 3 or n > 30 * max(self.scale, own)):
                 best, need = c, n / 4**edits
         self.known[w] = best
@@ -161,8 +176,8 @@ class Reader:
 
     def _fitting(self, w: str) -> list[str]:
         """Words that begin or end as ``w`` does around its lost letters."""
-        if not self.words:
-            self.words, self.endings = sorted(self.lexicon), sorted(x[::-1] for x in self.lexicon)
+        if not self.endings:
+            self.endings = sorted(x[::-1] for x in self.lexicon)
         head, tail = w[: w.index("�")], w[w.rindex("�") + 1 :][::-1]
         a, b = (bisect_left(self.words, x) for x in (head, head + "\U0010ffff"))
         c, d = (bisect_left(self.endings, x) for x in (tail, tail + "\U0010ffff"))
@@ -227,15 +242,44 @@ class Reader:
         if self.count(core) >= 3 * self.scale or not core.replace("�", "").isalpha():
             return self._cost(core)
         meant = self.meant(core)
-        return self._cost(meant) + 4 if meant != core.lower() else 16.0
+        return self._cost(meant) + 4 if meant != core.lower() else 16.0 + max(0, len(core) - 8)  # an unknown word is the less likely the longer it is
+
+    def spelled(self, letters: str) -> tuple[float, list[str], int]:
+        """(cost, words, confusions) of the cheapest reading of letters as two or more frequent words, blanks left out; infinite cost if there is none.
+
+        Viterbi over the places between the letters: every word is a walk through the lexicon from one place
+        to another, with one confusion in words of four letters or more. Each confusion and each blank put
+        in costs 4. Words of one or two letters must be among the most frequent.
+        """
+        w = letters.lower()
+        if (got := self.parts.get(w)) is not None:
+            return got
+        if len(self.parts) > 300_000:
+            self.parts.clear()
+        best: list[tuple[float, list[str], int]] = [(0.0, [], 0)] + [(math.inf, [], 0)] * len(w)
+        for i in range(len(w)):
+            if best[i][0] == math.inf:
+                continue
+            cost, words, made = best[i]
+            for end, word, edits in self.walks(w, i, 1):
+                count = self.lexicon[word]
+                if count < 20 * self.scale or edits and len(word) < 4 or len(word) < 3 and count < 400 * self.scale or not word.isalpha() or end - i == len(w):
+                    continue
+                c = cost + self._cost(word) + 4 * edits + 4 * bool(words)
+                if c < best[end][0]:
+                    best[end] = (c, [*words, word], made + edits)
+        self.parts[w] = best[-1] if len(best[-1][1]) > 1 else (math.inf, [], 0)
+        return self.parts[w]
 
     def segment(self, tokens: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
         """Segmentation of a stream of (token, line) into (kind, first token, end).
 
         Kinds: ``word``, one token as one word; ``join``, a word broken at a line's end; ``keep``, a word with
-        a hyphen of its own at a line's end; ``merge``, one word with a blank too many; ``split``, two words
-        with a blank too few. Known words are certain, so the search (Viterbi under word costs, a confusion
-        costs 4) runs over the stretches of tokens between them.
+        a hyphen of its own at a line's end; ``merge``, one word with a blank too many; ``split``, several words
+        with blanks too few; ``shift``, two tokens whose letters are several words with other bounds. Words
+        may hold confusions in all of them. Known words are certain, so the search (Viterbi under word costs;
+        a confusion, and a blank more or less, costs 4) runs over the stretches of tokens between them, with
+        the known words beside them.
         """
         n, out, i = len(tokens), [], 0
         cores = [_LOST.sub("�", t).strip(_EDGE) for t, _ in tokens]
@@ -253,6 +297,9 @@ class Reader:
             while j < n and doubtful(j):
                 j += 1
             hi = min(n, j + 1)
+            if out and out[-1] == ("word", i - 1, i) and tokens[i - 1][1] == tokens[i][1] and tokens[i - 1][0] == cores[i - 1] and cores[i - 1].isalpha() and cores[i].isalpha():
+                out.pop()
+                i -= 1
             best: list[tuple[float, int, str]] = [(0.0, i, "")] + [(math.inf, i, "")] * (hi - i)
 
             def arc(a: int, b: int, cost: float, kind: str, i=i, best=best) -> None:
@@ -265,13 +312,15 @@ class Reader:
                     arc(k, k + 2, 0.0, "join" if self.breaks(_LINE_END.search(tokens[k][0])[1], tokens[k + 1][0]) else "keep")
                     continue
                 arc(k, k + 1, self._single(core), "word")
-                if core.isalpha() and self.count(core) < 3 * self.scale:
-                    for c in range(2, len(core) - 1):
-                        if self.count(core[:c]) >= 20 * self.scale and self.count(core[c:]) >= 20 * self.scale:
-                            arc(k, k + 1, self._cost(core[:c]) + self._cost(core[c:]) + 4, "split")
+                if core.isalpha() and self.count(core) < 3 * self.scale and self.meant(core) == core.lower():
+                    arc(k, k + 1, self.spelled(core)[0], "split")
                 if k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and tokens[k][0] == core and core.isalpha() and cores[k + 1].isalpha() and (self.count(core) < 3 * self.scale or self.count(cores[k + 1]) < 3 * self.scale):
-                    if self.count(core + cores[k + 1]) >= 20 * self.scale:
-                        arc(k, k + 2, self._cost(core + cores[k + 1]) + 4, "merge")
+                    both = core + cores[k + 1]
+                    if self.count(both) >= 20 * self.scale:
+                        arc(k, k + 2, self._cost(both) + 4, "merge")
+                    cost, words, made = self.spelled(both)
+                    if words and made == 0 and words != [core.lower(), cores[k + 1].lower()]:
+                        arc(k, k + 2, cost + 4, "shift")
                 elif k + 1 < hi and tokens[k][1] == tokens[k + 1][1] and "�" in core + cores[k + 1] and tokens[k][0][-1:] not in _EDGE + "-" and all(self.count(x) < 3 * self.scale and self.meant(x) == x.lower() for x in (core, cores[k + 1])):
                     both = core + cores[k + 1]  # letters lost and a blank too many
                     if sum(c.isalpha() for c in both) > 3 and both.replace("�", "").isalpha() and (meant := self.meant(both)) != both.lower() and self.count(meant) >= 20 * self.scale:
@@ -307,16 +356,16 @@ class Reader:
             return False
         return b[0].islower() or not b[0].isalpha()
 
-    def defects(self, text: str, after: str | None, pages: bool, own: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
+    def defects(self, text: str, after: str | None, pages: bool, seen: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
         """(line number, defect) of one text; ``after`` is the beginning of the next page."""
         lines = text.split("\n")
-        run = self.running(lines, pages, own)
+        run = self.running(lines, pages, seen, own)
         out = [(i + 1, "running") for i in run]
         body = [i for i, x in enumerate(lines) if x.strip() and i not in run]
         rest = None
         if after:
             follow = after.split("\n")
-            skip = self.running(follow, pages, own)
+            skip = self.running(follow, pages, seen, own)
             rest = next((x for i, x in enumerate(follow) if x.strip() and i not in skip), None)
         stream = [(t, i) for i in body for t in lines[i].split()]
         if rest and rest.split():
@@ -331,7 +380,7 @@ class Reader:
                     misread.add(line)
                 if self._part_wrong(head, tail[0], second=True):
                     misread.add(tail[1])
-            elif kind == "merge":
+            elif kind in ("merge", "shift") or kind == "split" and self.spelled(_LOST.sub("�", token).strip(_EDGE))[2]:
                 misread.add(line)
             elif kind != "split":
                 for t, at in stream[b:e]:
@@ -380,7 +429,19 @@ class Reader:
         """The running paragraphs of one text."""
         return [x for _, x in self.document([text], pages)]
 
-    def document(self, texts: list[str], pages: bool, furniture: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
+    def _spaced(self, core: str) -> str:
+        """The words that ``spelled`` finds in letters, their own letters kept where none was misread."""
+        _, words, made = self.spelled(core)
+        if made:
+            text = " ".join(words)
+            return text.upper() if core.isupper() else text[:1].upper() + text[1:] if core[:1].isupper() else text
+        out, at = [], 0
+        for w in words:
+            out.append(core[at : at + len(w)])
+            at += len(w)
+        return " ".join(out)
+
+    def document(self, texts: list[str], pages: bool, seen: frozenset[str] = frozenset(), furniture: frozenset[str] = frozenset()) -> list[tuple[int, str]]:
         """(number of the text it begins in, paragraph) of texts that follow one another: furniture out, broken words joined, misread words repaired, boundaries by dynamic programming.
 
         Every gap between two lines is either a boundary or none, also where a page ends. Boundaries cost less
@@ -395,7 +456,7 @@ class Reader:
         full = True
         for no, text in enumerate(texts):
             own = text.split("\n")
-            run = self.running(own, pages, furniture)
+            run = self.running(own, pages, seen, furniture)
             kept = [i for i, x in enumerate(own) if x.strip() and i not in run]
             width = max((len(own[i].rstrip()) for i in kept), default=0)
             for i in kept:
@@ -440,25 +501,43 @@ class Reader:
                     words.append(self.repair_token(t + stream[b + 1][0]))
                 elif kind == "merge":
                     words.append(self.repair_token(t + stream[b + 1][0]))
-                elif kind == "split":
-                    core = t.strip(_EDGE)
-                    c = min((c for c in range(2, len(core) - 1) if self.count(core[:c]) >= 20 * self.scale and self.count(core[c:]) >= 20 * self.scale), key=lambda c: self._cost(core[:c]) + self._cost(core[c:]))
-                    words.append(t.replace(core, f"{core[:c]} {core[c:]}", 1))
+                elif kind in ("split", "shift"):
+                    core = "".join(x.strip(_EDGE) for x, _ in stream[b:f])
+                    put = self._spaced(core)
+                    words.append(t.replace(core, put, 1) if kind == "split" else put + stream[f - 1][0][len(stream[f - 1][0].rstrip(_EDGE)) :])
                 else:
                     words.append(self.repair_token(t))
             out.append((page_of[body[s]], " ".join(words)))
         return out
 
 
+#: Lines that are running wherever they stand, as ``Reader.running`` takes them.
+_ALWAYS = r"(?i)^\s*(?:-\s*[\dlIO]{1,5}\s*-|page\s+[\dlIOo]{1,5}(?:\s+of\s+[\dlIOo]{1,5})?)\s*$|(?-i)^\s*[A-Z]{2,4}[\dOlIS�]{5,9}\s*$|(?i)^\s*FROM:.*\bP\.\s?[\dOlI�]+\s*$"
+
+
 def page_texts(pages: DataFrame, results: DataFrame) -> DataFrame:
-    """(src, row_id, text, after, pages): pages of PDF files with the beginning of the next page, and image texts."""
-    head = F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 6), "\n")
-    base = pages.select(F.col("page_id").alias("row_id"), "extraction_id", "page_number", "text")
-    heads = base.groupBy("extraction_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min_by(head, "row_id").alias("after"))
-    left = base.join(heads, ["extraction_id", "page_number"], "left").select(F.lit("page_results").alias("src"), "row_id", "text", "after", F.lit(True).alias("pages"))
-    images = results.where(F.col("method").startswith("tesseract"))
-    right = images.select(F.lit("extraction_results").alias("src"), F.col("extraction_id").alias("row_id"), "text", F.lit(None).cast("string").alias("after"), F.lit(False).alias("pages"))
-    return left.unionByName(right).withColumn("text", F.coalesce("text", F.lit("")))
+    """(src, row_id, text, after, pages, doc, page, seen, own): pages of PDF files with the beginning of the next page, and image texts, each with its document's running lines.
+
+    The beginning is all that may be a running line at the top (three lines, and any number of lines that are
+    running wherever they stand) and the first line below it; short pages are taken whole. It and the running
+    lines are put together by keys first, so that a page's text is shuffled once.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    below = F.filter(F.slice(lines, 4, F.greatest(F.size(lines), F.lit(1))), lambda x: ~x.rlike(_ALWAYS))
+    filler = F.array_repeat(F.lit("x x."), 4)  # keeps the lines before from standing at the page's lower edge
+    head = F.array_join(F.when(F.size(lines) <= 8, lines).otherwise(F.concat(F.slice(lines, 1, 3), F.slice(below, 1, 1), filler)), "\n")
+    known = materialize(furniture_of(pages, results))
+    of_pages = known.where(F.col("src") == "page_results").select(F.col("doc").alias("extraction_id"), "seen", "own")
+    keys = pages.select(F.col("page_id").alias("row_id"), "extraction_id", "page_number")
+    heads = pages.groupBy("extraction_id", (F.col("page_number") - 1).alias("page_number")).agg(F.min_by(head, "page_id").alias("after"))
+    side = salted_join(keys.join(heads, ["extraction_id", "page_number"], "left"), of_pages, ["extraction_id"], "left", salt_on=F.col("row_id"))
+    side = side.select("row_id", "after", F.lit(True).alias("pages"), F.col("extraction_id").alias("doc"), F.col("page_number").alias("page"), "seen", "own")
+    left = pages.select(F.lit("page_results").alias("src"), F.col("page_id").alias("row_id"), "text").join(side, "row_id")
+    images = results.where(F.col("method").startswith("tesseract")).select(F.lit("extraction_results").alias("src"), F.col("extraction_id").alias("row_id"), "text", F.lit(None).cast("string").alias("after"), F.lit(False).alias("pages"))
+    of_images = known.where(F.col("src") != "page_results").select(F.col("doc").alias("row_id"), "seen", "own")
+    right = images.join(of_images, "row_id", "left").withColumn("doc", F.lit(None).cast("bigint")).withColumn("page", F.lit(None).cast("int"))
+    none = F.array().cast("array<string>")
+    return left.unionByName(right).withColumns({"text": F.coalesce("text", F.lit("")), "seen": F.coalesce("seen", none), "own": F.coalesce("own", none)})
 
 
 def lexicon(texts: DataFrame) -> dict[str, int]:
@@ -470,77 +549,70 @@ def lexicon(texts: DataFrame) -> dict[str, int]:
     clean = F.regexp_replace("text", rf"\S+[{_HYPHEN}][ \t]*\n\s*\S+", " ")
     words = F.regexp_extract_all(F.lower(clean), F.lit(r"(?U)(?<![\w�)(@!])(\p{L}+(?:['’-]\p{L}+)*)(?![\w�(@!])"), F.lit(1))
     counts = texts.select(F.explode(words).alias("word")).groupBy("word").count()
-    from docketry.runtime import materialize
-
     counts = materialize(counts)
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
     return {r.word: r["count"] for r in counts.where((F.col("count") >= 3) & (F.col("count") >= LEAST_SHARE * total)).collect()}
 
 
-def furniture(texts: DataFrame) -> set[str]:
-    """Masks of lines that stand at the edges of pages again and again, and hardly ever elsewhere.
+def furniture_of(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """(src, doc, seen, own): masks of running lines of every document and image text; other documents have no row.
 
-    All lines are counted, by a hash of their mask; the mask itself travels only from the edges. Masks
-    under a share of ``LEAST_SHARE`` of all lines are left out, which bounds the result.
+    ``seen``: masks that stand at the edges of pages three times or more in the corpus, and hardly ever
+    elsewhere. ``own``: masks at the edges of two or more pages of the document itself, whatever the corpus.
+    All lines are counted by a hash of their mask, combined in each partition; what the counts tell is
+    joined back to the lines at edges by the hash, spread over salts, so nothing is collected and no share of
+    the corpus is asked for. The masks of one document are gathered, which is the document's own size.
     """
+    kept = pages.where(F.col("extraction_id").isNotNull() & F.col("text").isNotNull()).select(F.lit("page_results").alias("src"), F.col("extraction_id").alias("doc"), "text")
+    images = results.where(F.col("method").startswith("tesseract") & F.col("text").isNotNull()).select(F.lit("extraction_results").alias("src"), F.col("extraction_id").alias("doc"), "text")
+    letters = lambda m: sum("a" <= c <= "z" for c in m) >= 4
 
     def count(batches):
         import pandas as pd
         import xxhash
 
-        edge, every, name = Counter(), Counter(), {}
+        edge, every = Counter(), Counter()
         for b in batches:
-            for text, one_page in zip(b["text"], b["pages"]):
-                lines = (text or "").split("\n") if one_page else []
+            for text in b["text"]:
+                lines = text.split("\n")
                 at, _ = edge_lines(lines)
                 for i, x in enumerate(lines):
                     if x.strip() and not _ends_sentence(x) and (m := mask(x)):
                         h = xxhash.xxh64_intdigest(m) - (1 << 63)
                         every[h] += 1
-                        if i in at:
-                            edge[h] += 1
-                            name[h] = m
-        keys = list(every)
-        out = {"h": keys, "mask": [name.get(h) for h in keys], "edge": [edge[h] for h in keys], "n": [every[h] for h in keys]}
-        yield pd.DataFrame(out).astype({"h": "int64", "edge": "int64", "n": "int64"}).astype({"mask": object})
-
-    rows = texts.select("text", "pages").mapInPandas(count, "h bigint, mask string, edge bigint, n bigint")
-    rows = rows.groupBy("h").agg(F.max("mask").alias("mask"), F.sum("edge").alias("edge"), F.sum("n").alias("n"))
-    from docketry.runtime import materialize
-
-    rows = materialize(rows)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    kept = rows.where((F.col("edge") >= 3) & (F.col("edge") >= 0.85 * F.col("n")) & (F.col("edge") >= LEAST_SHARE * total))
-    return {r["mask"] for r in kept.collect() if len(re.sub("[^a-z]", "", r["mask"])) >= 4}
-
-
-def own_furniture(pages: DataFrame) -> DataFrame:
-    """(extraction_id, own): masks at the edges of two or more pages of a document, whatever the corpus; the table is joined by document."""
-
-    def count(batches):
+                        edge[h] += i in at
+            if len(every) > 200_000:
+                yield pd.DataFrame({"h": list(every), "edge": [edge[h] for h in every], "n": list(every.values())}).astype("int64")
+                edge.clear()
+                every.clear()
+        yield pd.DataFrame({"h": list(every), "edge": [edge[h] for h in every], "n": list(every.values())}).astype("int64")
+
+    def lines_of(batches):
         import pandas as pd
+        import xxhash
 
         for b in batches:
             rows = []
-            for doc, text in zip(b["extraction_id"], b["text"]):
+            for src, doc, text in zip(b["src"], b["doc"], b["text"]):
                 lines = text.split("\n")
-                at, _ = edge_lines(lines)
-                rows += [(doc, m) for m in {mask(lines[i]) for i in at if not _ends_sentence(lines[i])} if len(re.sub("[^a-z]", "", m)) >= 4]
-            yield pd.DataFrame(rows, columns=["extraction_id", "mask"]).astype({"extraction_id": "int64", "mask": object})
+                at = edge_lines(lines)[0] if src == "page_results" else range(len(lines))
+                found = {mask(lines[i]) for i in at if lines[i].strip() and not _ends_sentence(lines[i])}
+                rows += [(src, doc, m, xxhash.xxh64_intdigest(m) - (1 << 63)) for m in found if letters(m)]
+            yield pd.DataFrame(rows, columns=["src", "doc", "mask", "h"]).astype({"doc": "int64", "h": "int64", "src": object, "mask": object})
 
-    kept = pages.where(F.col("extraction_id").isNotNull() & F.col("text").isNotNull()).select("extraction_id", "text")
-    rows = kept.mapInPandas(count, "extraction_id bigint, mask string").groupBy("extraction_id", "mask").agg(F.count("*").alias("n"))
-    return rows.where(F.col("n") >= 2).groupBy("extraction_id").agg(F.collect_set("mask").alias("own"))
+    counts = kept.select("text").mapInPandas(count, "h bigint, edge bigint, n bigint").groupBy("h").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n"))
+    known = counts.where((F.col("edge") >= 3) & (F.col("edge") >= 0.85 * F.col("n"))).select("h", F.lit(True).alias("seen"))
+    lines = kept.unionByName(images).mapInPandas(lines_of, "src string, doc bigint, mask string, h bigint")
+    per = lines.groupBy("src", "doc", "mask", "h").agg(F.count("*").alias("n"))
+    judged = salted_join(per, known, ["h"], "left", salt_on=F.col("doc"))
+    seen = F.collect_set(F.when(F.col("seen"), F.col("mask")))
+    own = F.collect_set(F.when((F.col("n") >= 2) & (F.col("src") == "page_results"), F.col("mask")))
+    return judged.where(F.col("seen") | (F.col("n") >= 2)).groupBy("src", "doc").agg(seen.alias("seen"), own.alias("own"))
 
 
 def _reader(pages: DataFrame, results: DataFrame):
-    texts = page_texts(pages, results)
-    keys = pages.select(F.lit("page_results").alias("src"), F.col("page_id").alias("row_id"), "extraction_id", F.col("page_number").alias("page"))
-    keys = keys.join(own_furniture(pages), "extraction_id", "left").withColumnRenamed("extraction_id", "doc")
-    words = texts.select("text").unionByName(results.where(~F.col("method").startswith("tesseract") & F.col("text").isNotNull()).select("text"))
-    sc = pages.sparkSession.sparkContext
-    model = sc.broadcast((lexicon(words), furniture(texts)))
-    return texts.join(keys, ["src", "row_id"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>"))), model
+    words = pages.select("text").unionByName(results.select("text")).where(F.col("text").isNotNull())
+    return page_texts(pages, results), pages.sparkSession.sparkContext.broadcast(lexicon(words))
 
 
 def line_defects(pages: DataFrame, results: DataFrame) -> DataFrame:
@@ -554,9 +626,9 @@ def line_defects(pages: DataFrame, results: DataFrame) -> DataFrame:
     def read(batches):
         import pandas as pd
 
-        reader = Reader(*model.value)
+        reader = Reader(model.value)
         for b in batches:
-            rows = [(s, r, n, d) for s, r, t, a, p, o in zip(b["src"], b["row_id"], b["text"], b["after"], b["pages"], b["own"]) for n, d in reader.defects(t, a, p, frozenset(o))]
+            rows = [(s, r, n, d) for s, r, t, a, p, g, o in zip(b["src"], b["row_id"], b["text"], b["after"], b["pages"], b["seen"], b["own"]) for n, d in reader.defects(t, a, p, frozenset(g), frozenset(o))]
             yield pd.DataFrame(rows, columns=["src", "row_id", "line_no", "defect"]).astype({"row_id": "int64", "line_no": "int32"})
 
     return texts.mapInPandas(read, "src string, row_id bigint, line_no int, defect string")
@@ -571,7 +643,7 @@ def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
     """
     texts, model = _reader(pages, results)
     lone = F.col("doc").isNull() | F.col("page").isNull()
-    texts = texts.select("src", "row_id", "text", "pages", "own", lone.alias("lone"), F.when(lone, F.col("row_id")).otherwise(F.col("doc")).alias("doc"), F.coalesce("page", F.lit(0)).alias("page"))
+    texts = texts.select("src", "row_id", "text", "pages", "seen", "own", lone.alias("lone"), F.when(lone, F.col("row_id")).otherwise(F.col("doc")).alias("doc"), F.coalesce("page", F.lit(0)).alias("page"))
     ordered = texts.repartition("src", "lone", "doc").sortWithinPartitions("src", "lone", "doc", "page", "row_id")
 
     def read(batches):
@@ -579,8 +651,8 @@ def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
 
         import pandas as pd
 
-        reader = Reader(*model.value)
-        rows = (r for b in batches for r in zip(b["src"], b["lone"], b["doc"], b["page"], b["row_id"], b["text"], b["pages"], b["own"]))
+        reader = Reader(model.value)
+        rows = (r for b in batches for r in zip(b["src"], b["lone"], b["doc"], b["page"], b["row_id"], b["text"], b["pages"], b["seen"], b["own"]))
         out = []
         for (src, _, _), held in groupby(rows, key=lambda r: r[:3]):
             runs: list[list] = []
@@ -588,7 +660,7 @@ def repaired_paragraphs(pages: DataFrame, results: DataFrame) -> DataFrame:
                 if not runs or r[3] - runs[-1][-1][3] > 1:
                     runs.append([])
                 runs[-1].append(r)
-            found = [(run[k][4], x) for run in runs for k, x in reader.document([r[5] for r in run], bool(run[0][6]), frozenset(run[0][7]))]
+            found = [(run[k][4], x) for run in runs for k, x in reader.document([r[5] for r in run], bool(run[0][6]), frozenset(run[0][7]), frozenset(run[0][8]))]
             out += [(src, i, k + 1, x) for k, (i, x) in enumerate(found)]
             if len(out) > 2000:
                 yield pd.DataFrame(out, columns=["src", "row_id", "paragraph_no", "paragraph"]).astype({"row_id": "int64", "paragraph_no": "int32"})
