@@ -85,3 +85,12 @@ def mail_date(value: Column) -> Column:
 def address_text(people_: Column) -> Column:
     one = lambda p: F.when(F.coalesce(p["name"], F.lit("")) != "", F.concat(p["name"], F.lit(" <"), p["email"], F.lit(">"))).otherwise(p["email"])
     return F.array_join(F.transform(people_, one), ", ")
+
+
+def transcript(m: Column) -> Column:
+    """A parsed message as text for people: header lines, a blank line, the body, then its attachments."""
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ": "), c))
+    files = F.transform(m["attachments"], lambda a: F.concat(F.lit("- "), a["filename"], F.lit(" ("), a["content_type"], F.lit(", "), a["size_bytes"].cast("string"), F.lit(" bytes)")))
+    heads = [line("From", address_text(m["from"])), line("To", address_text(m["to"])), line("Cc", address_text(m["cc"])), line("Date", F.coalesce(m["date_iso"], m["date_raw"])), line("Subject", m["subject"])]
+    body = F.coalesce(m["body_text"], m["body_html"], F.lit(""))
+    return F.concat_ws("\n", *heads, F.lit(""), body, F.when(F.size(files) > 0, F.concat(F.lit("\nAttachments:\n"), F.array_join(files, "\n"))))

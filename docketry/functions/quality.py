@@ -20,10 +20,14 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; Spark has no function for it."""
+    """Canonical composition; Spark has no function for it. Texts without a combining character have nothing to compose."""
     return F.pandas_udf(_nfc, "string")(text)
 
 
+#: Characters below are their own composition, alone and in any order.
+_COMPOSED = r"^[\x{00}-\x{2FF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{FFFD}]*\z"
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
 
@@ -49,7 +53,8 @@ def with_garble(df: DataFrame, text: str, *, page: bool, normalize: bool = True,
     """
     t = F.coalesce(F.col(text), F.lit(""))
     n = F.length(t)
-    base = df.withColumn("_t", t).withColumn("_nfc", nfc(t) if normalize else t)
+    # English share differs under composition only; texts that are composed already do not leave the JVM's values
+    base = df.withColumn("_t", t).withColumn("_nfc", F.coalesce(nfc(F.when(~t.rlike(_COMPOSED), t)), t) if normalize else t)
     cid = F.aggregate(F.regexp_extract_all("_t", F.lit(r"\(cid:\d+\)"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
     bad = F.length(F.regexp_replace("_t", "[^�\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
     base = base.withColumn("_n", n).withColumn("_cid", cid / F.greatest(n, F.lit(1))).withColumn("_bad", bad / F.greatest(n, F.lit(1)))
@@ -96,7 +101,7 @@ def html_is_empty(chars: Column, raw_len: Column, *, least: int = 200, ratio: fl
 
 def with_assessment(df: DataFrame, text: str, kind: Column) -> DataFrame:
     """Add flags (joined by ',') and appears_complete: whether a reference text looks whole for its kind."""
-    # Least characters by kind.
+    # Least characters by kind, marks of a cut, and the patterns of the flags.
     floors = {"statute": 400, "regulation": 400, "official-policy": 800, "tos": 1500, "guidance": 400, "case-law": 800}
     t = F.coalesce(F.col(text), F.lit(""))
     s = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
@@ -107,12 +112,12 @@ def with_assessment(df: DataFrame, text: str, kind: Column) -> DataFrame:
         any_marker = any_marker | F.contains(t, F.lit(m))
     warn = [
         (F.length(s) < floor, "short-for-kind"), (~s.rlike(r"""(?s)[.!?"')\]]\z"""), "truncation-suspected"), (any_marker, "has-truncation-marker"),
-        (F.left(s, F.lit(500)).rlike(r"(?i)\b(excerpt|partial|sample|preview)\b"), "looks-like-excerpt"), (F.contains(t, F.lit("�")), "encoding-issues"),
+        (F.left(s, F.lit(500)).rlike(r"(?i)\b(excerpt|partial|sample|preview)\b"), "looks-like-excerpt"), (t.rlike(r"(?i)�|\\ufffd"), "encoding-issues"),
         (kind.isin("statute", "regulation") & ~t.rlike(r"(?im)(§\s*\d|\bsection\s+\d|\b\d+(\.\d+)+\b|^\s*\([a-z0-9]+\)\s+\w|^\s*\d+\.\s+\w)"), "no-section-numbers"),
     ]
     info = [
         (t.rlike(r"\b(DRAFT|CONFIDENTIAL|DO NOT DISTRIBUTE|FOR INTERNAL USE)\b"), "has-watermark"),
-        (~t.rlike(r"(?i)\b(effective\s+(date|as\s+of|on)|as\s+of\s+\d{4}|last\s+(updated|revised|amended)|version\s+\d|©\s*\d{4})\b"), "no-effective-date"),
+        (~t.rlike(r"(?i)\b(effective\s+(date|as\s+of|on)|as\s+of\s+\d{4}|last\s+(updated|revised|amended)|version\s+\d)\b|(?i)©\s*\d{4}\b"), "no-effective-date"),
     ]
     flags = F.filter(F.array(*[F.when(c, F.lit(k)) for c, k in warn + info]), lambda x: x.isNotNull())
     bad = F.lit(False)

@@ -44,3 +44,29 @@ def epoch_or_iso(c: Column) -> Column:
 def add_duration(day: Column, unit: Column, n: Column) -> Column:
     """Calendar days, months or years later; month ends are clamped. Null for another unit."""
     return F.when(unit == "days", F.date_add(day, n)).when(unit == "months", F.add_months(day, n)).when(unit == "years", F.add_months(day, n * 12))
+
+
+#: Spellings of days as people type them into forms, in the order in which they are tried: (shape, format). Months alone mean their first day.
+_TYPED = (
+    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"), (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"), (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"), (r"\d{1,2}-\d{1,2}-\d{2}", "M-d-yy"),
+    (r"[A-Za-z]{4,} \d{1,2},? \d{4}", "MMMM d yyyy"), (r"[A-Za-z]{3} \d{1,2},? \d{4}", "MMM d yyyy"), (r"\d{1,2} [A-Za-z]{4,} \d{4}", "d MMMM yyyy"), (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
+    (r"[A-Za-z]{4,} \d{4}", "MMMM yyyy"), (r"[A-Za-z]{3} \d{4}", "MMM yyyy"),
+)
+
+
+def typed_day(c: Column) -> Column:
+    """Struct (value, warning) of a day in one of twelve spellings as ISO; other text stays as it is, with a warning. Years of two digits run from 1969 to 2068."""
+    t = F.trim(c)
+    plain = F.initcap(F.replace(t, F.lit(","), F.lit("")))
+    found = []
+    for shape, form in _TYPED:
+        day = F.try_to_timestamp(F.when(t.rlike(f"^{shape}$"), plain), F.lit(form)).cast("date")
+        found.append(F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day) if form.endswith("-yy") or form.endswith("/yy") else day)
+    iso = F.date_format(F.coalesce(*found), "yyyy-MM-dd")
+    warning = F.when(F.coalesce(t, F.lit("")) == "", F.lit(None)).when(iso.isNull(), "unreadable").when(iso != t, "interpreted")
+    return F.struct(F.coalesce(iso, t).alias("value"), warning.alias("warning"))
+
+
+def address_text(street: Column, city: Column, state: Column, code: Column) -> Column:
+    """A postal address as lines; what is missing leaves no gap."""
+    return F.concat_ws("\n", filled(street), filled(F.concat_ws(", ", filled(city), filled(state), filled(code))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,6 @@ def reference_text(df: DataFrame, *, path: str = "path", content: str = "content
 
 def finished(pages: DataFrame, *, text: str = "text", number: str = "page_number", skip: list[int] | None = None, strip: list[str] | None = None) -> DataFrame:
     """Final overrides: pages to leave out, and patterns to take off; a pattern that is no regular expression counts as plain text."""
-    import re
-
     out = pages.where(~F.col(number).isin(*skip)) if skip else pages
     for p in strip or []:
         try:
@@ -118,6 +117,53 @@ def edit_check(anchor: Column, find: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, "not-in-anchor").when(n > 1, "ambiguous").otherwise("ok")
 
 
+def run_check(runs: Column, compound: Column, find: Column) -> Column:
+    """``edit_check`` for an anchor of several runs: the text found must lie in one run (spans-runs), which holds plain text only (compound-run)."""
+    whole = edit_check(F.array_join(F.transform(runs, lambda r: F.coalesce(r, F.lit(""))), ""), find)
+    inside = F.filter(F.arrays_zip(runs.alias("r"), compound.alias("c")), lambda x: F.contains(x["r"], find))
+    return F.when(whole != "ok", whole).when(F.size(inside) == 0, "spans-runs").when(F.get(inside, F.lit(0))["c"], "compound-run").otherwise("ok")
+
+
 def edited(anchor: Column, find: Column, replace: Column) -> Column:
     """The anchor with the one occurrence replaced; unchanged where ``edit_check`` does not say ok."""
     return F.when(edit_check(anchor, find) == "ok", F.replace(anchor, find, replace)).otherwise(anchor)
+
+
+def tracked(anchor: Column, find: Column, replace: Column, author: Column, first_id: Column) -> Column:
+    """The edit as a deletion and an insertion that a reader can accept or refuse, as markup with the next two revision numbers; unchanged where it is not allowed."""
+    mark = lambda kind, tag, text, n: F.concat(F.lit(f'<w:{kind} w:id="'), (first_id + n).cast("string"), F.lit('" w:author="'), author, F.lit(f'"><w:r><w:{tag}>'), text, F.lit(f"</w:{tag}></w:r></w:{kind}>"))
+    return F.when(edit_check(anchor, find) == "ok", F.replace(anchor, find, F.concat(mark("del", "delText", find, 0), mark("ins", "t", replace, 1)))).otherwise(anchor)
+
+
+def next_revision(markup: Column) -> Column:
+    """One more than the largest revision number of a text's markup, 1 if it has none."""
+    ids = F.transform(F.regexp_extract_all(markup, F.lit(r'<w:(?:ins|del)\b[^>]*\bw:id="(\d+)"'), F.lit(1)), lambda x: x.cast("int"))
+    return F.coalesce(F.array_max(ids) + 1, F.lit(1))
+
+
+def revision_counts(markup: Column, author: str) -> Column:
+    """Struct (insertions, deletions) of an author in a text's markup."""
+    n = lambda kind: F.regexp_count(markup, F.lit(rf'<w:{kind}\b[^>]*\bw:author="{author}"')).cast("int")
+    return F.struct(n("ins").alias("insertions"), n("del").alias("deletions"))
+
+
+def dispatched(df: DataFrame, rules: list[tuple[list[str], str, str]], handlers: dict, *, path: str = "path") -> DataFrame:
+    """Add handler, handled and warning: the first rule (suffixes, folder, handler) whose suffix and folder both fit names the handler of a file.
+
+    ``handlers`` are name -> function of the row's columns; a rule that names none that exists gives a warning,
+    and files that no rule fits get neither.
+    """
+    from docketry.operators.lookups import under
+
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    name = F.coalesce(*[F.when(ext.isin(*suffixes) & under(F.col(path), [folder]), F.lit(handler)) for suffixes, folder, handler in rules], F.lit(None).cast("string"))
+    out = df.withColumn("handler", name)
+    done = F.coalesce(*[F.when(F.col("handler") == h, f(out)) for h, f in handlers.items()], F.lit(None).cast("string"))
+    return out.withColumn("handled", done).withColumn("warning", F.when(F.col("handler").isNotNull() & ~F.col("handler").isin(*handlers), F.concat(F.lit("unknown handler: "), F.col("handler"))))
+
+
+def frontmatter(text: Column, keys: list[str]) -> Column:
+    """Map of the chosen keys of the ``key: value`` lines between a text's leading ``---`` lines; empty without such a block."""
+    block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
+    values = [(F.lit(k), F.trim(F.regexp_extract(block, rf"(?m)^{re.escape(k)}[ \t]*:[ \t]*(.*)$", 1))) for k in keys]
+    return F.map_filter(F.create_map(*[x for kv in values for x in kv]), lambda k, v: v != "")

@@ -42,9 +42,31 @@ def document_text(pages: DataFrame, *, doc: str, number: str, text: str = "text"
     return pages.groupBy(doc).agg(F.array_join(F.transform(kept, lambda x: x.t), "\n\n").alias("text"), F.count("*").alias("n_pages"))
 
 
-def escalate(tiers: list[DataFrame], *, keys: list[str]) -> DataFrame:
-    """Pages through a cascade of extractors, cheapest first: each tier supplies only what is still garbled."""
+def escalate(tiers: list[DataFrame], *, keys: list[str], force: int | None = None) -> DataFrame:
+    """Pages through a cascade of extractors, cheapest first: each tier supplies only what is still garbled. ``force`` takes all pages from one tier."""
+    if force is not None:
+        return tiers[force].withColumn("tier", F.lit(force))
     out = tiers[0].withColumn("tier", F.lit(0))
     for k, t in enumerate(tiers[1:], 1):
         out = merge_pages(out, t, keys=keys).withColumn("tier", F.when(F.col("merged"), F.lit(k)).otherwise(F.col("tier"))).drop("merged")
     return out
+
+
+def html_cascade(docs: DataFrame, *, tiers: list[str], raw_length: str, key: str, force: int | None = None) -> DataFrame:
+    """(key, text, tier): the text of the first tier that is neither garbled nor, from the second on, too short for its source.
+
+    A later tier counts only where it has more text than what stands before it; if none will do, the
+    longest is kept. ``tiers`` are columns with what each extractor read, null where it failed.
+    ``force`` ends at one tier, which still has to beat an empty text.
+    """
+    from docketry.functions.quality import html_is_empty, with_garble
+
+    last = len(tiers) - 1 if force is None else force
+    out = docs.withColumn("_text", F.lit("")).withColumn("_tier", F.lit(0)).withColumn("_done", F.lit(False))
+    for k in range(last + 1) if force is None else [force]:
+        longer = ~F.col("_done") & (F.length(F.coalesce(tiers[k], F.lit(""))) > F.length("_text"))
+        out = out.withColumn("_take", longer).withColumn("_text", F.when(F.col("_take"), F.col(tiers[k])).otherwise(F.col("_text"))).withColumn("_tier", F.when(F.col("_take"), F.lit(k)).otherwise(F.col("_tier")))
+        scored = with_garble(out, "_text", page=False, prefix="_s_")
+        empty = html_is_empty(F.length("_text"), F.col(raw_length)) if k else F.lit(False)
+        out = scored.withColumn("_done", F.col("_done") | ~F.col("_s_garbled") & ~empty).drop(*[c for c in scored.columns if c.startswith("_s_")])
+    return out.select(key, F.col("_text").alias("text"), F.col("_tier").alias("tier"))

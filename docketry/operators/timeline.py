@@ -40,6 +40,7 @@ def tag_entities(messages: DataFrame, entities: DataFrame, *, key: str, case: st
     return by_mail.unionByName(by_name).distinct().select(F.col("_k").alias(key), F.col("_e").alias(entity))
 
 
+# The names of tracks, here and below.
 def track(sender_role, recipient_role):
     """Track of a message by the roles of the parties in its From and To headers."""
     sent = F.when(sender_role == "adversary", "inbound").when(sender_role.isin("self", "ally"), "outbound")
@@ -70,3 +71,54 @@ def union_timeline(events: DataFrame | None = None, messages: DataFrame | None =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.where(F.col("marker_date").isNotNull()).select(*_MARKER)
+
+
+def first_party(messages: DataFrame, entities: DataFrame, *, key: str, case: str, header: str, entity: str, order: str, emails: str, names: str) -> DataFrame:
+    """(key, entity): of the parties that a header names, the first in the order of the case's list; headers that name none have no row."""
+    hits = tag_entities(messages, entities, key=key, case=case, hay=[header], entity=entity, emails=emails, names=names)
+    ranks = entities.select(F.col(entity).alias("_e"), F.col(order).alias("_o"))
+    return hits.join(ranks, hits[entity] == F.col("_e")).groupBy(key).agg(F.min_by(F.col("_e"), F.col("_o")).alias(entity))
+
+
+def message_tracks(messages: DataFrame, entities: DataFrame, *, key: str, case: str, sender: str, recipient: str, entity: str, order: str, role: str, emails: str, names: str) -> DataFrame:
+    """(key, sender, recipient, track) of every message by the first party in its From and its To header."""
+    who = dict(key=key, case=case, entity=entity, order=order, emails=emails, names=names)
+    roles = entities.select(F.col(entity).alias("_e"), F.col(role).alias("_r"))
+    out = messages.select(key)
+    for side, header in (("sender", sender), ("recipient", recipient)):
+        one = first_party(messages, entities, header=header, **who)
+        one = one.join(roles, one[entity] == F.col("_e")).select(key, F.col(entity).alias(side), F.col("_r").alias(f"_{side}"))
+        out = out.join(one, key, "left")
+    return out.select(key, "sender", "recipient", track(F.col("_sender"), F.col("_recipient")).alias("track"))
+
+
+def event_tracks(events: DataFrame, entities: DataFrame, *, key: str, scope: str, ids: str, ident: str, role: str) -> DataFrame:
+    """(key, track, parties): the track of an event by the roles of those it names, and who they are as ``id:role`` in order; unknown ones are neutral."""
+    asked = events.select(key, F.col(scope).alias("_s"), F.explode_outer(F.array_distinct(ids)).alias("_i"))
+    roles = entities.where(F.col(ident).isNotNull()).groupBy(F.col(scope).alias("_s"), F.col(ident).alias("_i")).agg(F.min(role).alias("_r"))
+    met = asked.join(roles, ["_s", "_i"], "left")
+    party = F.when(F.col("_i").isNotNull(), F.concat("_i", F.lit(":"), F.coalesce("_r", F.lit("neutral"))))
+    per = met.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(party)), ",").alias("parties"), F.bool_or(F.col("_r") == "adversary").alias("_a"), F.bool_or(F.col("_r").isin("self", "ally")).alias("_o"))
+    kind = F.when(F.col("_a"), "adverse_event").when(F.col("_o"), "self_event").otherwise("neutral_event")
+    return per.select(key, kind.alias("track"), "parties")
+
+
+def timeline_places(markers: DataFrame, *, scope: str, key: str, date: str = "marker_date", out: str = "place") -> DataFrame:
+    """Markers with their place from 1 in the order of a timeline: date, kind, title; equal ones by key. A missing date comes first."""
+    from docketry.runtime import rank_in_group
+
+    keyed = markers.withColumn("_d", F.coalesce(date, F.lit("")))
+    return rank_in_group(keyed, [scope], ["_d", "kind", "title", key], out).drop("_d")
+
+
+def message_places(messages: DataFrame, *, scope: str, key: str, date: str, ident: str, out: str = "place") -> DataFrame:
+    """Messages with their place from 1 in the order of a correspondence manifest: date, then identifier, both empty where missing; equal ones by key."""
+    from docketry.runtime import rank_in_group
+
+    keyed = messages.withColumns({"_d": F.coalesce(date, F.lit("")), "_i": F.coalesce(ident, F.lit(""))})
+    return rank_in_group(keyed, [scope], ["_d", "_i", key], out).drop("_d", "_i")
+
+
+def entity_markers(markers: DataFrame, ids: str, columns: list[str]) -> DataFrame:
+    """(entity_id, columns): every marker under each party it names."""
+    return markers.select(F.explode(ids).alias("entity_id"), *columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.plans import evidence, training
+from docketry.plans import casework, evidence, training
 
-QUERIES = {**training.QUERIES, **evidence.QUERIES}
-SQL: dict[str, str] = {**training.SQL, **evidence.SQL}
+QUERIES = {**training.QUERIES, **evidence.QUERIES, **casework.QUERIES}
+SQL: dict[str, str] = {**training.SQL, **evidence.SQL, **casework.SQL}

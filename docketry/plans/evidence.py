@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import quality, rules, text, values
-from docketry.operators import integrity, matching, pages, scrub, threads, timeline
+from docketry.operators import integrity, matching, pages, reports, scrub, threads, timeline
 from docketry.plans.tables import table
 
 QUERIES: dict = {}
@@ -94,8 +94,7 @@ SELECT coalesce(nullif(kind, ''), nullif(source_type, ''), 'unknown') AS kind, c
 def q07_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     a = q06_kind_inference(spark, d).select("kind", F.lit(None).cast("string").alias("source_type"))
     b = table(spark, d, "extraction_results").select(F.lit("").alias("kind"), F.col("method").alias("source_type"))
-    kind = F.coalesce(text.filled(F.col("kind")), text.filled(F.col("source_type")), F.lit("unknown"))
-    return a.unionByName(b).select(kind.alias("kind")).rollup("kind").agg(F.count("*").alias("n")).select(F.coalesce("kind", F.lit("(all)")).alias("kind"), "n")
+    return reports.kind_counts(a.unionByName(b), ["kind", "source_type"])
 
 
 DENY = [("*.sample-denied.example", "mirror"), ("*paste*", "paste")]
@@ -174,7 +173,17 @@ def q14_word_shape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(c).alias("chars"), F.size(quality.tokens(c)).alias("n_tokens"), F.round(quality.word_shape(c), 6).alias("word_shape"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT page_id, coalesce(text, '') AS t FROM page_results),
+ k AS (SELECT page_id, t, length(t) AS n, list_filter(string_split_regex(t, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS toks,
+   list_filter(list_transform(list_filter(string_split_regex(nfc_normalize(t), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> ''),
+     lambda x: regexp_replace(x, '^[!-/:-@\[-`{-~“”‘’–—…«»]+|[!-/:-@\[-`{-~“”‘’–—…«»]+$', '', 'g')), lambda x: regexp_matches(x, '\pL')) AS words FROM p),
+ r AS (SELECT page_id, n, list_sum(list_transform(regexp_extract_all(t, '\(cid:\d+\)'), lambda x: length(x))) / greatest(n, 1) AS cid, length(regexp_replace(t, '[^\x{FFFD}\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}]', '', 'g')) / greatest(n, 1) AS bad,
+   len(toks) AS nt, CASE WHEN len(toks) > 0 THEN len(list_filter(toks, lambda x: regexp_matches(x, '[A-Za-z]{2,}'))) / len(toks) ELSE 0.0 END AS shape,
+   CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: NOT regexp_matches(regexp_replace(x, '[A-Za-z]', '', 'g'), '\pL'))) / len(words) ELSE 1.0 END AS eng FROM k),
+ z AS (SELECT page_id, n, coalesce(cid, 0) AS cid, bad, shape, eng, CASE WHEN n = 0 THEN 'empty extraction' ELSE concat_ws('; ', CASE WHEN coalesce(cid, 0) > 0.02 THEN 'cid-glyph ratio' END, CASE WHEN bad > 0.05 THEN 'non-printable ratio' END,
+   CASE WHEN nt > 0 AND shape < 0.4 THEN 'word-shape ratio' END, CASE WHEN eng < 0.85 THEN 'english-token ratio' END, CASE WHEN n < 50 THEN 'chars/page' END) END AS reasons FROM r)
+SELECT page_id, n AS chars, round(cid, 6) AS cid_ratio, round(bad, 6) AS nonprintable_ratio, round(shape, 6) AS word_shape_ratio, round(eng, 6) AS english_ratio, reasons <> '' AS garbled, reasons FROM z""")
 def q14_garble_score(spark: SparkSession, d: str) -> DataFrame:
     scored = quality.with_garble(table(spark, d, "page_results").select("page_id", "text"), "text", page=True)
     return scored.select("page_id", "chars", F.round("cid_ratio", 6).alias("cid_ratio"), F.round("nonprintable_ratio", 6).alias("nonprintable_ratio"), F.round("word_shape_ratio", 6).alias("word_shape_ratio"), F.round("english_ratio", 6).alias("english_ratio"), "garbled", "reasons")
@@ -198,13 +207,19 @@ WITH a AS (SELECT page_id, text AS p, CASE WHEN page_id % 3 = 0 THEN regexp_repl
  t AS (SELECT page_id, list_filter(string_split_regex(p, '\s+'), lambda x: x <> '') AS x, list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') AS y FROM a),
  c AS (SELECT page_id, w, count(*) FILTER (side = 0) AS k0, count(*) FILTER (side = 1) AS k1 FROM (SELECT page_id, unnest(x) AS w, 0 AS side FROM t UNION ALL SELECT page_id, unnest(y), 1 FROM t) GROUP BY ALL),
  o AS (SELECT page_id, sum(least(k0, k1)) AS common FROM c GROUP BY 1)
-SELECT p.page_id, round(CASE WHEN t.page_id IS NULL THEN NULL WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * coalesce(common, 0) / (len(x) + len(y)) END, 6) AS agreement
-FROM page_results p LEFT JOIN t ON t.page_id = p.page_id LEFT JOIN o ON o.page_id = p.page_id""")
+SELECT p.page_id, round(CASE WHEN t.page_id IS NULL THEN NULL WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * coalesce(common, 0) / (len(x) + len(y)) END, 6) AS agreement,
+ coalesce(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * coalesce(common, 0) / (len(x) + len(y)) END < 0.85, false) AS disagrees,
+ CASE WHEN coalesce(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * coalesce(common, 0) / (len(x) + len(y)) END < 0.85, false) AND q.s > q.p THEN 'shadow' ELSE 'primary' END AS chosen
+FROM page_results p LEFT JOIN t ON t.page_id = p.page_id LEFT JOIN o ON o.page_id = p.page_id LEFT JOIN (
+ SELECT page_id, CASE WHEN len(px) = 0 THEN 0.0 ELSE len(list_filter(px, lambda w: regexp_matches(w, '[A-Za-z]{2,}'))) / len(px) + CASE WHEN len(pw) = 0 THEN 1.0 ELSE len(list_filter(pw, lambda w: NOT regexp_matches(regexp_replace(w, '[A-Za-z]', '', 'g'), '\pL'))) / len(pw) END END AS p,
+  CASE WHEN len(sx) = 0 THEN 0.0 ELSE len(list_filter(sx, lambda w: regexp_matches(w, '[A-Za-z]{2,}'))) / len(sx) + CASE WHEN len(sw) = 0 THEN 1.0 ELSE len(list_filter(sw, lambda w: NOT regexp_matches(regexp_replace(w, '[A-Za-z]', '', 'g'), '\pL'))) / len(sw) END END AS s
+ FROM (SELECT page_id, px, sx, list_filter(px, lambda w: regexp_matches(w, '\pL')) AS pw, list_filter(sx, lambda w: regexp_matches(w, '\pL')) AS sw FROM (
+  SELECT page_id, list_filter(string_split_regex(p, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '') AS px, list_filter(string_split_regex(s, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda w: w <> '') AS sx FROM a))) q ON q.page_id = p.page_id""")
 def q16_reconcile_pages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "page_results").select("page_id", "text")
     thinned = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("text", r"(\S+)\s+(\S+)\s+", "$1 ")).otherwise(F.col("text"))
     shadow = p.where(F.col("page_id") % 11 != 0).select("page_id", thinned.alias("text"))
-    return pages.reconcile_pages(p, shadow, keys=["page_id"]).select("page_id", F.round("agreement", 6).alias("agreement"))
+    return pages.reconcile_pages(p, shadow, keys=["page_id"]).select("page_id", F.round("agreement", 6).alias("agreement"), "disagrees", "chosen")
 
 
 @query("""
@@ -219,14 +234,18 @@ def q17_page_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT doc_id, kind, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
-SELECT doc_id, length(t) < CASE WHEN kind = 'reference' THEN 400 ELSE 0 END AS short_for_kind, NOT regexp_matches(right(t, 1), '[.!?"'')\]]') AS truncation_suspected,
- contains(text, '[truncated]') OR contains(text, '[...]') OR contains(text, '(continued on next page)') OR contains(text, '* * *') OR contains(text, '...') AS has_truncation_marker, contains(text, chr(65533)) AS encoding_issues FROM s""")
+WITH s AS (SELECT doc_id, kind, text, regexp_replace(text, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g') AS t FROM documents),
+ f AS (SELECT doc_id, t = '' AS empty, [CASE WHEN length(t) < CASE WHEN kind = 'reference' THEN 400 ELSE 0 END THEN 'short-for-kind' END, CASE WHEN NOT regexp_matches(right(t, 1), '[.!?"'')\]]') THEN 'truncation-suspected' END,
+  CASE WHEN contains(text, '[truncated]') OR contains(text, '[...]') OR contains(text, '(continued on next page)') OR contains(text, '* * *') OR contains(text, '...') THEN 'has-truncation-marker' END,
+  CASE WHEN regexp_matches(left(t, 500), '(?i)\b(excerpt|partial|sample|preview)\b') THEN 'looks-like-excerpt' END, CASE WHEN contains(text, chr(65533)) OR regexp_matches(text, '(?i)\\ufffd') THEN 'encoding-issues' END,
+  CASE WHEN kind = 'reference' AND NOT regexp_matches(text, '(?im)(§\s*\d|\bsection\s+\d|\b\d+(\.\d+)+\b|^\s*\([a-z0-9]+\)\s+\w|^\s*\d+\.\s+\w)') THEN 'no-section-numbers' END] AS warn,
+  [CASE WHEN regexp_matches(text, '\b(DRAFT|CONFIDENTIAL|DO NOT DISTRIBUTE|FOR INTERNAL USE)\b') THEN 'has-watermark' END,
+  CASE WHEN NOT regexp_matches(text, '(?i)(\b(effective\s+(date|as\s+of|on)|as\s+of\s+\d{4}|last\s+(updated|revised|amended)|version\s+\d)\b|©\s*\d{4}\b)') THEN 'no-effective-date' END] AS info FROM s)
+SELECT doc_id, CASE WHEN empty THEN 'empty' ELSE array_to_string(list_filter(list_concat(warn, info), lambda x: x IS NOT NULL), ',') END AS flags, NOT empty AND len(list_filter(warn, lambda x: x IS NOT NULL)) = 0 AS appears_complete FROM f""")
 def q18_assess(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == "reference", "statute").otherwise("other")
     done = quality.with_assessment(table(spark, d, "documents").select("doc_id", "kind", "text"), "text", kind)
-    has = lambda f: F.array_contains(F.split("flags", ","), f)
-    return done.select("doc_id", *[has(f).alias(f.replace("-", "_")) for f in ("short-for-kind", "truncation-suspected", "has-truncation-marker", "encoding-issues")])
+    return done.select("doc_id", "flags", "appears_complete")
 
 
 @query("SELECT doc_id, kind AS title, 'utf-8' AS charset, length('- ' || kind || E'\\n- ' || coalesce(lang, 'none') || E'\\n') AS n FROM documents")
@@ -319,7 +338,7 @@ def q27_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT unnest(entity_ids) AS entity_id, marker_id, marker_date, kind, title, track FROM timeline_markers")
 def q28_entity_drilldown(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "timeline_markers").select(F.explode("entity_ids").alias("entity_id"), "marker_id", "marker_date", "kind", "title", "track")
+    return timeline.entity_markers(table(spark, d, "timeline_markers"), "entity_ids", ["marker_id", "marker_date", "kind", "title", "track"])
 
 
 @query("""
@@ -372,21 +391,13 @@ def q32_bundle_verdict(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT a.entry_id, count(b.entry_id) AS seen FROM snapshot_entries a JOIN snapshot_entries b ON a.case_id = b.case_id AND regexp_extract(a.path, '[^/]+$') = regexp_extract(b.path, '[^/]+$') AND b.snapshot_no < a.snapshot_no GROUP BY 1""")
 def q33_basename_history(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    s = table(spark, d, "snapshot_entries").select("entry_id", "case_id", "snapshot_no", text.basename(F.col("path")).alias("name"))
-    per = s.groupBy("case_id", "name", "snapshot_no").agg(F.count("*").alias("n"))  # a name has a few snapshots, however many rows
-    w = Window.partitionBy("case_id", "name").orderBy("snapshot_no").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("seen", F.sum("n").over(w)).where(F.col("seen") > 0).drop("n")
-    return s.join(per, ["case_id", "name", "snapshot_no"]).select("entry_id", "seen")
+    return reports.basename_history(table(spark, d, "snapshot_entries"), scope="case_id", path="path", number="snapshot_no", key="entry_id")
 
 
 @query("""
 SELECT extraction_id, count(*) FILTER (garbled) AS garbled_pages, coalesce(string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) FILTER (garbled), '') AS page_list, bool_or(garbled) AS any_garbled, bool_or(trim(text, E' \\t\\n\\r') <> '') AS has_text FROM page_results GROUP BY 1""")
 def q34_garbled_pages(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "page_results")
-    numbers = F.array_sort(F.collect_list(F.when(F.col("garbled"), F.col("page_number"))))
-    return p.groupBy("extraction_id").agg(F.count_if("garbled").alias("garbled_pages"), F.array_join(numbers, ",").alias("page_list"), F.bool_or("garbled").alias("any_garbled"), F.bool_or(text.strip(F.col("text")) != "").alias("has_text"))
+    return reports.garbled_pages(table(spark, d, "page_results"), doc="extraction_id")
 
 
 @query(r"""
@@ -398,8 +409,11 @@ def q35_marker_days(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT call_id, CASE WHEN lower(trim(direction)) IN ('incoming', 'outgoing', 'missed', 'voicemail') THEN lower(trim(direction)) WHEN nullif(trim(direction), '') IS NOT NULL THEN 'unknown:' || lower(trim(direction)) END AS direction FROM call_log""")
 def q36_call_direction(spark: SparkSession, d: str) -> DataFrame:
-    v = F.lower(text.filled(F.trim("direction")))
-    return table(spark, d, "call_log").select("call_id", F.when(v.isin("incoming", "outgoing", "missed", "voicemail"), v).when(v.isNotNull(), F.concat(F.lit("unknown:"), v)).alias("direction"))
+    from docketry.sources.files import call_rows
+
+    calls = table(spark, d, "call_log")
+    rows = calls.select(F.col("call_id").cast("string").alias("transcript"), "direction", F.lit(None).cast("string").alias("timestamp"), F.lit("1").alias("duration_seconds"))
+    return call_rows(rows).select(F.col("transcript").cast("bigint").alias("call_id"), "direction")
 
 
 @query("""
@@ -474,7 +488,7 @@ def q43_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT extraction_id, source_type, string_agg(path, ',' ORDER BY path) AS paths, count(*) AS n FROM (SELECT DISTINCT extraction_id % 20 AS extraction_id, method AS source_type, path FROM extraction_results) GROUP BY ALL")
 def q44_recorded_inputs(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "extraction_results").select((F.col("extraction_id") % 20).alias("extraction_id"), F.col("method").alias("source_type"), "path")
-    return r.groupBy("extraction_id", "source_type").agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"), F.count_distinct("path").alias("n"))
+    return reports.recorded_inputs(r, widget=["extraction_id", "source_type"])
 
 
 @query("""

@@ -50,11 +50,11 @@ def text_targets(spark: SparkSession, root: str) -> DataFrame:
     return df.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("text"))
 
 
-def shasum_lines(lines: DataFrame, *, value: str = "value") -> DataFrame:
-    """(sha256, path) of ``<hex>  <path>`` lines; comments, blank lines and lines without two blanks fall out."""
+def shasum_lines(lines: DataFrame, *, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """(sha256, path, and the columns to keep) of ``<hex>  <path>`` lines; comments, blank lines and lines without two blanks fall out."""
     ok = (F.trim(value) != "") & ~F.startswith(F.ltrim(value), F.lit("#")) & F.contains(F.col(value), F.lit("  "))
     parts = F.split(value, "  ", 2)
-    return lines.where(ok).select(F.trim(F.get(parts, F.lit(0))).alias("sha256"), F.trim(F.get(parts, F.lit(1))).alias("path"))
+    return lines.where(ok).select(F.trim(F.get(parts, F.lit(0))).alias("sha256"), F.trim(F.get(parts, F.lit(1))).alias("path"), *(keep or []))
 
 
 def shasum(spark: SparkSession, path: str) -> DataFrame:
@@ -66,9 +66,8 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.replace("﻿", "").strip().lower() for c in df.columns])
 
 
-def call_log(spark: SparkSession, path: str) -> DataFrame:
-    """Call exports: headers in any case; an unknown direction becomes ``unknown:<value>``; other columns are dropped."""
-    df = _csv(spark, path)
+def call_rows(df: DataFrame) -> DataFrame:
+    """Rows of call exports, all columns text: an unknown direction becomes ``unknown:<value>``; columns that are missing are null, others are dropped."""
     col = lambda n: filled(F.trim(F.col(n))) if n in df.columns else F.lit(None).cast("string")
     known = F.lower(col("direction")).isin("incoming", "outgoing", "missed", "voicemail")
     direction = F.when(known, F.lower(col("direction"))).when(col("direction").isNotNull(), F.concat(F.lit("unknown:"), F.lower(col("direction"))))
@@ -79,25 +78,41 @@ def call_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def benefit_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Benefit statements: known columns typed, all others kept in the map ``extra``."""
-    df = _csv(spark, path)
-    known = ("date_of_service", "provider", "cpt_code", "description", "billed", "allowed", "patient_responsibility")
+def call_log(spark: SparkSession, path: str) -> DataFrame:
+    """Call exports as CSV with headers in any case, by ``call_rows``."""
+    return call_rows(_csv(spark, path))
+
+
+BENEFIT = ("date_of_service", "provider", "cpt_code", "description", "billed", "allowed", "patient_responsibility")
+
+
+def benefit_rows(df: DataFrame) -> DataFrame:
+    """Rows of benefit statements, all columns text: known columns typed, all others kept in the map ``extra``."""
     col = lambda n: F.trim(F.col(n)) if n in df.columns else F.lit(None).cast("string")
-    rest = [c for c in df.columns if c not in known]
+    rest = [c for c in df.columns if c not in BENEFIT]
     extra = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c))]) if rest else F.create_map().cast("map<string,string>")
     return df.select(
-        day_or_text(col("date_of_service")).alias("date_of_service"), *[col(c).alias(c) for c in known[1:4]], *[money(col(c)).alias(c) for c in known[4:]],
+        day_or_text(col("date_of_service")).alias("date_of_service"), *[col(c).alias(c) for c in BENEFIT[1:4]], *[money(col(c)).alias(c) for c in BENEFIT[4:]],
         F.map_filter(extra, lambda k, v: F.coalesce(v, F.lit("")) != "").alias("extra"),
     )
 
 
+def benefit_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Benefit statements as CSV, by ``benefit_rows``."""
+    return benefit_rows(_csv(spark, path))
+
+
+def benefit_totals(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sums of the three amounts; missing ones count as nothing, and no amount at all sums up to 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,2)").alias(c)
+    return lines.groupBy(*(by or [])).agg(*[total(c) for c in BENEFIT[4:]])
+
+
 _SMS = T.StructType([T.StructField(f"_{n}", T.StringType()) for n in ("address", "date", "type", "body", "contact_name", "thread_id", "service_center", "readable_date")])
 
 
-def sms_export(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a phone's XML export; a type other than 1 and 2 is unknown, multimedia messages are left out."""
-    df = spark.read.format("xml").option("rowTag", "sms").schema(_SMS).load(path)
+def sms_rows(df: DataFrame) -> DataFrame:
+    """Attributes of a phone's messages as records; a type other than 1 and 2 is unknown."""
     ms = F.col("_date").try_cast("bigint")
     return df.select(
         F.when(F.col("_type") == "1", "incoming").when(F.col("_type") == "2", "outgoing").otherwise("unknown").alias("direction"), F.col("_address").alias("address"), filled(F.col("_contact_name")).alias("contact_name"),
@@ -105,6 +120,11 @@ def sms_export(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def sms_export(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of a phone's XML export, by ``sms_rows``; multimedia messages are left out."""
+    return sms_rows(spark.read.format("xml").option("rowTag", "sms").schema(_SMS).load(path))
+
+
 def json_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Entries of snapshot files: (captured_at, path, size, mtime, sha256, xattrs)."""
     schema = "captured_at string, count int, entries array<struct<path:string,size:bigint,mtime:double,sha256:string,xattrs:map<string,string>>>"
@@ -202,3 +222,64 @@ def document_comments(members: DataFrame, *, key: str = "path") -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "id", "para_id", "parent_para_id", "author", "initials", "date", "text"])
 
     return pair.mapInPandas(read, f"{key} string, id int, para_id string, parent_para_id string, author string, initials string, date string, text string")
+
+
+def document_anchors(members: DataFrame, *, key: str = "path", limit: int = 800) -> DataFrame:
+    """(key, id, para_idx, anchor, runs, compound) of the text that each comment of a word-processor file is tied to.
+
+    ``anchor`` is cut at ``limit`` characters, as the form of a report; ``runs`` are the texts of the runs inside
+    the range, ``compound`` whether each holds more than plain text (a tab, a break, a field).
+    """
+    wanted = members.where(F.col("member") == "word/document.xml").select(key, "data")
+
+    def read(batches):
+        import xml.etree.ElementTree as E
+
+        import pandas as pd
+
+        local = lambda t: t.rsplit("}", 1)[-1]
+        get = lambda e, n: next((v for k, v in e.attrib.items() if local(k) == n), None)
+        for b in batches:
+            rows = []
+            for k, raw in zip(b[key], b["data"]):
+                open_: dict[int, dict] = {}
+                para = -1
+                for e in E.fromstring(bytes(raw)).iter():
+                    name = local(e.tag)
+                    if name == "p":
+                        para += 1
+                    elif name == "commentRangeStart":
+                        open_[int(get(e, "id"))] = {"para": para, "runs": [], "mixed": [], "on": True}
+                    elif name == "commentRangeEnd" and int(get(e, "id")) in open_:
+                        open_[int(get(e, "id"))]["on"] = False
+                    elif name == "r":
+                        text = "".join(t.text or "" for t in e if local(t.tag) == "t")
+                        mixed = any(local(t.tag) not in ("t", "rPr") for t in e) or sum(local(t.tag) == "t" for t in e) > 1
+                        for r in open_.values():
+                            if r["on"] and (text or mixed):
+                                r["runs"].append(text)
+                                r["mixed"].append(mixed)
+                rows += [(k, i, r["para"], "".join(r["runs"])[:limit], r["runs"], r["mixed"]) for i, r in open_.items()]
+            yield pd.DataFrame(rows, columns=[key, "id", "para_idx", "anchor", "runs", "compound"])
+
+    return wanted.mapInPandas(read, f"{key} string, id int, para_idx int, anchor string, runs array<string>, compound array<boolean>")
+
+
+def document_text(members: DataFrame, *, key: str = "path") -> DataFrame:
+    """(key, text, title) of word-processor files: paragraphs as lines, and the first that is not blank."""
+    wanted = members.where(F.col("member") == "word/document.xml").select(key, "data")
+
+    def read(batches):
+        import xml.etree.ElementTree as E
+
+        import pandas as pd
+
+        local = lambda t: t.rsplit("}", 1)[-1]
+        for b in batches:
+            rows = []
+            for k, raw in zip(b[key], b["data"]):
+                paras = ["".join(t.text or "" for t in p.iter() if local(t.tag) == "t") for p in E.fromstring(bytes(raw)).iter() if local(p.tag) == "p"]
+                rows.append((k, "\n".join(paras), next((p.strip() for p in paras if p.strip()), None)))
+            yield pd.DataFrame(rows, columns=[key, "text", "title"])
+
+    return wanted.mapInPandas(read, f"{key} string, text string, title string")
