@@ -25,7 +25,7 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def greedy_match(local: DataFrame, web: DataFrame, *, group: list[str], name: str, order: str, threshold: float = 0.82, buckets: int = 1) -> DataFrame:
+def greedy_match(local: DataFrame, web: DataFrame, *, group: list[str], name: str, order: str, threshold: float = 0.82) -> DataFrame:
     """(group..., local_name, web_name) of a greedy one-to-one matching in list order: equal keys first, else a Ratcliff-Obershelp ratio from ``threshold`` on.
 
     The assignment is sequential inside a group by its definition. Rows first meet in a cogroup of the
