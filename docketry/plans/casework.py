@@ -388,3 +388,108 @@ def q81_call_texts(spark: SparkSession, d: str) -> DataFrame:
 def q82_addresses(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select("c_custkey", values.address_text(F.col("c_name"), F.col("n_name"), F.when(F.col("c_custkey") % 2 == 0, "MD").otherwise(""), F.col("c_custkey").cast("string")).alias("address"))
+
+
+# text marks, dates, readers of small forms --------------------------------------------------------
+
+
+@query(r"""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'F+Q' WHEN 1 THEN 'A' WHEN 2 THEN 'S' ELSE '' END AS tag, CASE WHEN doc_id % 4 = 3 THEN 'no: tail' ELSE 'tail' END AS tail, replace(replace(kind, ' ', '-'), '_', '-') || '-x' AS slug,
+ left(trim(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' '), 80) AS snippet, strftime(received_at, 'D:%Y%m%d%H%M%SZ') AS pdf_date, round(n_chars / nullif(doc_id % 7, 0), 6) AS per_page, coalesce(n_chars / nullif(doc_id % 7, 0) < 200, false) AS low,
+ CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -1 END AS whole FROM documents""")
+def q83_text_marks(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import snippet
+
+    n = F.col("doc_id")
+    raw = F.when(n % 4 == 0, " q+f: tail").when(n % 4 == 1, "a: tail").when(n % 4 == 2, "S:tail").otherwise("no: tail")
+    tag, tail = text.tag(raw)
+    per = documents.fidelity(F.col("n_chars"), n % 7)
+    return table(spark, d, "documents").select(
+        "doc_id", tag.alias("tag"), tail.alias("tail"), text.title_slug(F.concat("kind", F.lit("_x!"))).alias("slug"), snippet(F.col("text")).alias("snippet"), documents.pdf_date(F.col("received_at")).alias("pdf_date"),
+        F.round(per["chars_per_page"], 6).alias("per_page"), F.coalesce(per["low"], F.lit(False)).alias("low"), F.coalesce(values.whole(F.when(n % 2 == 0, F.concat(F.lit(" "), n.cast("string"))).otherwise("x")).cast("bigint"), F.lit(-1)).alias("whole"),
+    )
+
+
+@query(r"""
+SELECT delivery_id, strftime(strptime(date_raw, '%a, %d %b %Y %H:%M:%S %z') AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM correspondence WHERE regexp_full_match(date_raw, '[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}')""")
+def q84_mail_dates(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "correspondence").where(F.col("date_raw").rlike(r"^[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}\z"))
+    return c.select("delivery_id", mail.mail_date(F.col("date_raw")).alias("iso"))
+
+
+@query("""
+SELECT delivery_id FROM correspondence WHERE (contains(from_addr, 'Ka') OR contains(from_addr, 'Vera') OR contains(coalesce(to_addr, ''), 'Olaf')) AND (contains(concat_ws(' ', subject, from_addr, to_addr), 'report') OR contains(concat_ws(' ', subject, from_addr, to_addr), 'inbox-hill'))""")
+def q85_header_filter(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.functions import rules
+
+    cfg = {"headers": {"From": ["Ka", "Vera"], "To": ["Olaf"]}, "identifiers": ["report", "inbox-hill"]}
+    heads = F.create_map(F.lit("From"), "from_addr", F.lit("To"), "to_addr")
+    none = F.array().cast("array<string>")
+    hold = rules.message_predicate(cfg, addresses=none, subject=F.col("subject"), body=F.lit(""), headers=heads, day=F.lit(None).cast("date"))
+    return table(spark, d, "correspondence").where(hold).select("delivery_id")
+
+
+@query(r"""
+SELECT extraction_id, CASE WHEN extraction_id % 5 = 0 THEN 'application/msword' WHEN ends_with(path, '.html') THEN 'text/html' WHEN ends_with(path, '.pdf') THEN 'application/pdf' WHEN ends_with(path, '.txt') THEN 'text/plain' WHEN ends_with(path, '.md') THEN 'text/markdown' ELSE 'application/octet-stream' END AS kind, extraction_id % 5 = 0 AS refused,
+ CASE WHEN extraction_id % 5 <> 0 AND ends_with(path, '.html') THEN 'Page ' || extraction_id || chr(10) || 'see x (http://h/' || tier || ')' || chr(10) WHEN extraction_id % 5 <> 0 AND (ends_with(path, '.txt') OR ends_with(path, '.md')) THEN 'plain' ELSE '' END AS shown, CASE WHEN extraction_id % 5 <> 0 AND ends_with(path, '.html') THEN 'T' || tier ELSE '' END AS title FROM extraction_results""")
+def q86_reference_text(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("extraction_id").cast("string")
+    page = F.concat(F.lit("<head><meta charset=utf-8><title>T"), F.col("tier").cast("string"), F.lit("</title></head><p>Page "), n, F.lit("</p><script>no</script>see <a href='http://h/"), F.col("tier").cast("string"), F.lit("'>x</a>"))
+    r = table(spark, d, "extraction_results").select("extraction_id", "path", F.when(F.endswith("path", F.lit(".html")), page).otherwise("plain").cast("binary").alias("content"), F.when(F.col("extraction_id") % 5 == 0, "application/msword").alias("content_type"))
+    done = documents.reference_text(r)
+    return done.select("extraction_id", "kind", "refused", F.coalesce("text", F.lit("")).alias("shown"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("""
+SELECT CASE WHEN entry_id % 3 = 0 THEN 'D' WHEN entry_id % 3 = 1 THEN 'A' ELSE 'M' END AS status, CASE WHEN entry_id % 3 = 0 THEN 'old/' || path ELSE path END AS path, entry_id FROM snapshot_entries UNION ALL SELECT 'A', path, entry_id FROM snapshot_entries WHERE entry_id % 3 = 0""")
+def q87_staged_changes(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators.lookups import changed_files
+
+    n, mark = F.col("entry_id"), F.concat(F.lit("|"), F.col("entry_id").cast("string"))
+    c = table(spark, d, "snapshot_entries").select(F.when(n % 3 == 0, "R100").when(n % 3 == 1, "A").otherwise("M").alias("status"), F.concat(F.lit("old/"), "path", mark).alias("old_path"), F.concat("path", mark).alias("path"))
+    return changed_files(c).select("status", F.regexp_replace("path", r"\|\d+$", "").alias("path"), F.regexp_extract("path", r"\|(\d+)$", 1).cast("bigint").alias("entry_id"))
+
+
+@query("""
+SELECT entity_no, coalesce(ref_path, '') <> '' AND ref_path NOT IN ('parties.p1', 'parties.p2') AS missing, CASE ref_path WHEN 'parties.p1' THEN 'AFRICA' WHEN 'parties.p2' THEN 'ASIA' ELSE '' END AS name FROM (SELECT entity_no, CASE entity_no % 5 WHEN 0 THEN 'parties.p1' WHEN 1 THEN 'parties.p2' WHEN 2 THEN 'parties.p1.name' ELSE ref_path END AS ref_path FROM entities)""")
+def q88_resolved_facts(spark: SparkSession, d: str) -> DataFrame:
+    party = lambda name, i: F.struct(F.lit(name).alias("name"), F.lit(i).alias("number"), F.array(F.lit("x")).alias("tags"))
+    facts = table(spark, d, "region").where(F.col("r_regionkey") == 0).select(F.struct(F.struct(party("AFRICA", 1).alias("p1"), party("ASIA", 2).alias("p2")).alias("parties"), F.lit("t").alias("title")).alias("facts"))
+    n = F.col("entity_no")
+    e = table(spark, d, "entities").select("entity_no", F.when(n % 5 == 0, "parties.p1").when(n % 5 == 1, "parties.p2").when(n % 5 == 2, "parties.p1.name").otherwise(F.col("ref_path")).alias("ref_path"))
+    done = documents.resolved(e, documents.flattened(facts, "facts"))
+    return done.select("entity_no", "missing", F.coalesce(F.try_element_at("resolved", F.lit("name")), F.lit("")).alias("name"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, len(string_split(text, chr(10))) AS l FROM documents WHERE regexp_full_match(text, '[ -~\n]*[!-~]') AND length(text) < 4000)
+SELECT doc_id, doc_id % 3 = 0 AS same, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 4 END AS delta, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 4 + least(2, l) END AS diff_lines, doc_id % 3 <> 0 AND 4 + least(2, l) > 5 AS truncated FROM t""")
+def q89_text_diffs(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where(F.col("text").rlike(r"(?s)^[ -~\n]*[!-~]\z") & (F.length("text") < 4000)).select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\nend"))).alias("other"))
+    return documents.compared(t, "text", "other", limit=5).select("doc_id", "same", "delta", "diff_lines", "truncated")
+
+
+@query("""
+SELECT sidecar_no, source_id, title FROM (SELECT sidecar_no, source_id, title FROM reference_sidecars WHERE sidecar_no % 2 = 0 UNION ALL SELECT sidecar_no, source_id, title FROM reference_sidecars a WHERE sidecar_no % 2 = 1 AND NOT EXISTS (SELECT 1 FROM reference_sidecars b WHERE b.sidecar_no % 2 = 0 AND b.source_id = a.source_id))""")
+def q90_keyed_append(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reference_sidecars").select("sidecar_no", "source_id", "title")
+    kept, _ = integrity.append_entries(r.where(F.col("sidecar_no") % 2 == 0), r.where(F.col("sidecar_no") % 2 == 1), "source_id")
+    return kept
+
+
+@query(r"""
+WITH l AS (SELECT extraction_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM extraction_results WHERE text IS NOT NULL)
+SELECT extraction_id, line, sha256(m) AS original_sha256 FROM (SELECT extraction_id, line, unnest(regexp_extract_all(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS m FROM l)""")
+def q91_scrub_lines(spark: SparkSession, d: str) -> DataFrame:
+    src = table(spark, d, "extraction_results").where(F.col("text").isNotNull()).select("extraction_id", "text")
+    report = scrub.scrub_report(scrub.scrub(src, "text"), "extraction_id")
+    return report.where(F.col("detector") == "email").select("extraction_id", F.col("line").cast("bigint").alias("line"), "original_sha256")
+
+
+@query("""
+SELECT extraction_id, CASE WHEN ends_with(path, '.xml') OR extraction_id % 4 = 0 THEN 'android-xml' WHEN extraction_id % 4 = 1 THEN 'sqlite' WHEN extraction_id % 4 = 2 THEN 'csv' ELSE 'unknown' END AS format FROM extraction_results""")
+def q92_export_formats(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("extraction_id")
+    content = F.when(n % 4 == 0, "<?xml?><smses>").when(n % 4 == 1, "SQLite format 3").otherwise("number,name").cast("binary")
+    path = F.when(F.endswith("path", F.lit(".xml")), F.col("path")).when(n % 4 == 2, F.concat("path", F.lit(".CSV"))).otherwise(F.concat("path", F.lit(".bin")))
+    return table(spark, d, "extraction_results").select("extraction_id", documents.export_format(path, content).alias("format"))
