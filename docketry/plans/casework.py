@@ -493,3 +493,56 @@ def q92_export_formats(spark: SparkSession, d: str) -> DataFrame:
     content = F.when(n % 4 == 0, "<?xml?><smses>").when(n % 4 == 1, "SQLite format 3").otherwise("number,name").cast("binary")
     path = F.when(F.endswith("path", F.lit(".xml")), F.col("path")).when(n % 4 == 2, F.concat("path", F.lit(".CSV"))).otherwise(F.concat("path", F.lit(".bin")))
     return table(spark, d, "extraction_results").select("extraction_id", documents.export_format(path, content).alias("format"))
+
+
+# references --------------------------------------------------------------------------------------
+
+
+@query("""
+WITH n AS (SELECT sha256(text) AS h, min(doc_id) AS doc FROM documents WHERE kind = 'reference' GROUP BY 1), k AS (SELECT doc, left(h, 16) AS sid FROM n WHERE left(h, 16) NOT IN (SELECT left(sha256(text), 16) FROM documents WHERE kind = 'reference' AND doc_id % 10 = 0)),
+ s AS (SELECT *, 'ref-' || doc % 7 AS slug, row_number() OVER (PARTITION BY doc % 7 ORDER BY doc) AS i FROM k)
+SELECT sid AS source_id, doc AS doc_id, CASE WHEN i > 1 THEN slug || '-' || i ELSE slug END AS slug, length(text) AS chars, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 400 AS short FROM s JOIN documents ON doc_id = doc""")
+def q93_reference_ingest(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators import references
+
+    docs = table(spark, d, "documents").where(F.col("kind") == "reference")
+    none = F.lit(None).cast("string")
+    new = docs.select("doc_id", F.concat(F.lit("ref_"), (F.col("doc_id") % 7).cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"), none.alias("content_type"), none.alias("citation"), none.alias("url"))
+    old = docs.where(F.col("doc_id") % 10 == 0).select(F.left(F.sha2("text", 256), F.lit(16)).alias("source_id"))
+    done = references.ingest(new, old, order="doc_id", kind=F.lit("statute"))
+    return done.select("source_id", "doc_id", "slug", F.length("text").alias("chars"), F.contains("flags", F.lit("short-for-kind")).alias("short"))
+
+
+@query("SELECT extraction_id FROM extraction_results WHERE method IN ('stdlib-email', 'html-to-text', 'vlm')")
+def q94_consented(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators import references
+
+    consents = spark.createDataFrame([("vlm", True), ("vlm", True), ("tesseract@5", False), (None, True)], "provider string, granted boolean")
+    return references.consented(table(spark, d, "extraction_results"), consents, provider="method", local=["stdlib-email", "html-to-text"]).select("extraction_id")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY sidecar_no) AS place, sidecar_no, CASE WHEN length(citation) > 12 THEN left(citation, 11) || '…' ELSE citation END AS citation, CASE WHEN length(title) > 30 THEN left(title, 29) || '…' ELSE coalesce(title, '') END AS title FROM reference_sidecars WHERE kind = 'statute'""")
+def q95_listing(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators import references
+
+    return references.listing(table(spark, d, "reference_sidecars"), columns={"citation": 12, "title": 30}, kind="statute", order="sidecar_no")
+
+
+@query("""
+SELECT 'party' AS source, trim(display_name) AS name, coalesce(role, '') AS detail FROM entities WHERE list_contains(labels, 'insurer') AND trim(display_name) <> ''
+UNION ALL SELECT 'reference', trim(title), coalesce(kind, '') FROM reference_sidecars WHERE trim(title) <> ''""")
+def q96_cards(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators import references
+
+    e = table(spark, d, "entities").where(F.array_contains("labels", "insurer")).select(F.col("display_name").alias("name"), F.col("role").alias("detail"))
+    return references.cards(e, table(spark, d, "reference_sidecars").select(F.col("title").alias("name"), F.col("kind").alias("detail")), name="name", detail="detail")
+
+
+@query(r"""
+SELECT sidecar_no, regexp_replace(regexp_extract(lower(source_url), '^[a-z]+://([^/:?#]+)', 1), '^www\.', '') AS host, strlen(citation) AS size_bytes, sha256(citation) AS sha256 FROM reference_sidecars""")
+def q97_fetched(spark: SparkSession, d: str) -> DataFrame:
+    from docketry.operators import references
+
+    r = table(spark, d, "reference_sidecars").select("sidecar_no", "source_url", "citation")
+    return references.fetched(r, url="source_url", content="citation").select("sidecar_no", "host", "size_bytes", "sha256")
