@@ -90,3 +90,18 @@ def test_transcripts(spark):
     raw = b"From: Ann <ann@x.org>\nTo: b@x.org\nSubject: Hi\n\nBody"
     r = spark.createDataFrame([(raw,)], "c binary").select(mail.transcript(mail.parsed(F.col("c"))).alias("t")).first().t
     assert r == "From: Ann <ann@x.org>\nTo: b@x.org\nSubject: Hi\n\nBody"
+
+
+def test_references_with_gaps(spark):
+    from docketry.operators import references
+
+    cols = "n int, path string, content binary, content_type string, citation string, url string"
+    docs = spark.createDataFrame([(1, "a.txt", b"one", None, "MD 1", None), (2, "b.txt", b"one", None, "MD 1", None), (3, None, b"", "text/plain", "MD 1", None), (4, "c.txt", None, None, None, None), (5, "d.doc", b"x", "application/msword", None, "https://www.h.org/p")], cols)
+    got = {r.n: r for r in references.ingest(docs, spark.createDataFrame([], "source_id string"), order="n", kind=F.lit("other")).collect()}
+    assert set(got) == {1, 3, 5} and got[1].slug == "md-1" and got[3].slug == "md-1-2" and got[5].slug == "h-org-p"
+    assert got[3].flags == "empty" and got[5].refused and got[5].text is None and got[1].text == "one"
+    again = references.ingest(docs, spark.createDataFrame([(got[1].source_id,)], "source_id string"), order="n", kind=F.lit("other"))
+    assert {r.n for r in again.collect()} == {3, 5} and references.ingest(docs.limit(0), docs.select(F.lit("x").alias("source_id")), order="n", kind=F.lit("o")).count() == 0
+    rows = spark.createDataFrame([(1, "local"), (2, "net"), (3, None), (4, "other")], "n int, provider string")
+    yes = spark.createDataFrame([("net", True), ("other", None)], "provider string, granted boolean")
+    assert {r.n for r in references.consented(rows, yes, provider="provider", local=["local"]).collect()} == {1, 2}
