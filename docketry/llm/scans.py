@@ -34,6 +34,7 @@ _TWINS = {ord(v): k for t in (CYRILLIC_TWINS, GREEK_TWINS) for k, v in t.items()
 _LOST = re.compile(r"\(?cid:\d+\)?")
 _NUMBER = re.compile(r"\$?(?:[\dlOIS]{1,3}(?:,[\dlOIS]{3})*|[\dlOIS]{4})(?:\.[\dlOIS]{2})?")
 _DIGITS = str.maketrans("lIOS", "1105")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 _EDGE = ".,;:()[]\"'?<>“”‘’…*"
 _LINE_END = re.compile(rf"(\S*[\w�!@|)])[{_HYPHEN}]$")
 _PAGE_NO = re.compile(r"^[\W_]*(?:(?:page|pg|p)\.?\s*)?[\divxlo]{1,6}(?:\s*(?:of|/)\s*[\dlio]{1,5})?[\W_]*$", re.I)
@@ -42,17 +43,26 @@ _STAMP_NO = re.compile(r"^\s*[A-Z]{2,4}[\dOlIS�]{5,9}\s*$")
 _FAX = re.compile(r"^\s*FROM:.*\bP\.\s?[\dOlI�]+\s*$", re.I)
 
 
+_SPACED = re.compile(r"(?:\S ){4,}.*")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_DAY = re.compile(r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* [\dlOI]{1,2}, [\dlOI]{4}", re.I)
+_CODE = re.compile(r"\b(?=\w*\d)\w+\b")
+_CODES = re.compile(r"[#.,/:]*#[#.,/: ]*")
+_REST = re.compile(r"[^\w#|�]+")
+_FOLDS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"), ("c", "e"), ("f", "t"), ("b", "h"), ("0", "o"), ("5", "s"), ("!", "i"), ("@", "a"), ("l", "i"), ("|", "i"))
+
+
 def mask(line: str) -> str:
     """A line without what changes from page to page: numbers, codes, dates; look-alike readings folded together."""
-    s = re.sub(r"\(?cid:\d+\)?", "", line.strip())
-    if re.fullmatch(r"(?:\S ){4,}.*", s):  # s p a c e d  letters
-        s = re.sub(r"(?<=\S) (?=\S)", "", s)
-    s = re.sub(r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* [\dlOI]{1,2}, [\dlOI]{4}", "#", s, flags=re.I)
-    s = re.sub(r"\b(?=\w*\d)\w+\b", "#", s)
-    s = re.sub(r"[#.,/:]*#[#.,/: ]*", "#", s.lower())
-    for a, b in (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"), ("c", "e"), ("f", "t"), ("b", "h"), ("0", "o"), ("5", "s"), ("!", "i"), ("@", "a"), ("l", "i"), ("|", "i")):
+    s = line.strip()
+    if "cid:" in s:
+        s = _LOST.sub("", s)
+    if _SPACED.fullmatch(s):  # s p a c e d  letters
+        s = _BETWEEN.sub("", s)
+    s = _CODES.sub("#", _CODE.sub("#", _DAY.sub("#", s)).lower())
+    for a, b in _FOLDS:
         s = s.replace(a, b)
-    return re.sub(r"[^\w#|�]+", " ", s).strip()
+    return _REST.sub(" ", s).strip()
 
 
 def edge_lines(lines: list[str]) -> tuple[set[int], int]:
@@ -61,15 +71,18 @@ def edge_lines(lines: list[str]) -> tuple[set[int], int]:
     return set(full[:3] + full[-3:]), max((len(lines[i]) for i in full), default=0)
 
 
+_SENTENCE_END = re.compile(rf"[{_HYPHEN}.;,:?!][\"')]?\s*$")
+
+
 def _ends_sentence(line: str) -> bool:
-    return bool(re.search(rf"[{_HYPHEN}.;,:?!][\"')]?\s*$", line))
+    return bool(_SENTENCE_END.search(line))
 
 
 class Reader:
     """Decodes lines with a lexicon of counts; results for tokens are kept."""
 
     def __init__(self, lexicon: dict[str, int]):
-        self.lexicon, self.known, self.judged, self.parts = lexicon, {}, {}, {}
+        self.lexicon, self.known, self.judged, self.parts, self.read = lexicon, {}, {}, {}, {}
         self.total = max(1, sum(lexicon.values()))
         self.scale = max(1.0, self.total / WORDS)
         self.words = sorted(lexicon)
@@ -79,7 +92,7 @@ class Reader:
 
     def is_furniture(self, line: str, seen: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> bool:
         m = mask(line)
-        words = re.findall(r"[^\W\d_]{3,}", line)
+        words = _LETTERS.findall(line)
         lower = sum(w[0].islower() for w in words) > 0.34 * len(words)
         if "#" not in m and lower:
             return False
@@ -212,6 +225,13 @@ class Reader:
             got = self.judged[token] = self._wrong(token)
         return got
 
+    def off(self, token: str) -> bool:
+        """``wrong`` for a token that may end in a hyphen of its line."""
+        got = self.judged.get(token)
+        if got is None or token[-1] in _HYPHEN:
+            got = self.wrong(token.rstrip(_HYPHEN) or token)
+        return got
+
     def _wrong(self, token: str) -> bool:
         if "�" in token or "cid:" in token:
             return True
@@ -238,6 +258,14 @@ class Reader:
     def _cost(self, word: str) -> float:
         return -math.log((self.lexicon.get(word.lower(), 0) + 0.01 * self.scale) / self.total)
 
+    def _token(self, token: str) -> tuple[str, bool]:
+        """The token without the signs at its ends, lost letters as one sign, and whether it is a word that is not known; answers are kept."""
+        if len(self.read) > 300_000:
+            self.read.clear()
+        core = (_LOST.sub("�", token) if "cid:" in token else token).strip(_EDGE)
+        got = self.read[token] = (core, core.replace("�", "").isalpha() and self.count(core) < 3 * self.scale)
+        return got
+
     def _single(self, core: str) -> float:
         if self.count(core) >= 3 * self.scale or not core.replace("�", "").isalpha():
             return self._cost(core)
@@ -282,19 +310,20 @@ class Reader:
         the known words beside them.
         """
         n, out, i = len(tokens), [], 0
-        cores = [_LOST.sub("�", t).strip(_EDGE) for t, _ in tokens]
-        ends = [k + 1 < n and tokens[k + 1][1] != tokens[k][1] and bool(_LINE_END.search(tokens[k][0])) for k in range(n)]
-
-        def doubtful(k: int) -> bool:
-            return ends[k] or cores[k].replace("�", "").isalpha() and self.count(cores[k]) < 3 * self.scale
-
+        seen = [self.read.get(t) or self._token(t) for t, _ in tokens]
+        cores = [core for core, _ in seen]
+        doubtful = [unknown for _, unknown in seen]
+        ends = [False] * n
+        for k in range(n - 1):
+            if tokens[k + 1][1] != tokens[k][1] and tokens[k][0][-1] in _HYPHEN and _LINE_END.search(tokens[k][0]):
+                ends[k] = doubtful[k] = True
         while i < n:
-            if not doubtful(i):
+            if not doubtful[i]:
                 out.append(("word", i, i + 1))
                 i += 1
                 continue
             j = i
-            while j < n and doubtful(j):
+            while j < n and doubtful[j]:
                 j += 1
             hi = min(n, j + 1)
             if out and out[-1] == ("word", i - 1, i) and tokens[i - 1][1] == tokens[i][1] and tokens[i - 1][0] == cores[i - 1] and cores[i - 1].isalpha() and cores[i].isalpha():
@@ -373,7 +402,10 @@ class Reader:
         broken, misread = set(), set()
         for kind, b, e in self.segment(stream):
             token, line = stream[b]
-            if kind == "join":
+            if kind == "word":
+                if self.off(token):
+                    misread.add(line)
+            elif kind == "join":
                 head, tail = _LINE_END.search(token)[1], stream[b + 1]
                 broken.add(line)
                 if self._part_wrong(head, tail[0], second=False):
@@ -382,10 +414,8 @@ class Reader:
                     misread.add(tail[1])
             elif kind in ("merge", "shift") or kind == "split" and self.spelled(_LOST.sub("�", token).strip(_EDGE))[2]:
                 misread.add(line)
-            elif kind != "split":
-                for t, at in stream[b:e]:
-                    if self.wrong(t.rstrip(_HYPHEN) if t.rstrip(_HYPHEN) else t):
-                        misread.add(at)
+            elif kind == "keep":
+                misread.update(at for t, at in stream[b:e] if self.off(t))
         if stream and stream[-1][1] >= 0 and (m := _LINE_END.search(stream[-1][0])) and self.breaks(m[1], "x"):
             broken.add(stream[-1][1])  # the rest is on a page that is not there
         out += [(i + 1, "misread") for i in sorted(misread) if i >= 0] + [(i + 1, "hyphen") for i in sorted(broken)]
