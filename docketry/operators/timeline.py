@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.values import iso_prefix
+from docketry.runtime import checked_join, rank_in_group
 
 #: Letters of a name under which it is looked up.
 _HEAD = 4
@@ -34,7 +35,7 @@ def tag_entities(messages: DataFrame, entities: DataFrame, *, key: str, case: st
     digest = F.struct(F.xxhash64("_t"), F.xxhash64(F.lit(1), "_t"))
     texts = m.select("_c", "_t").distinct().withColumn("_h", digest)
     grown = texts.select("_c", "_h", F.explode(F.array_distinct(grams)).alias("_g"))
-    heads = grown.join(named, ["_c", "_g"]).select("_c", "_h", "_e", "_n")
+    heads = checked_join(grown, named, ["_c", "_g"], salt_on=F.col("_h")).select("_c", "_h", "_e", "_n")
     held = texts.join(heads, ["_c", "_h"]).where(F.contains("_t", "_n")).select("_c", "_h", "_e")
     by_name = m.select("_k", "_c", digest.alias("_h")).join(held, ["_c", "_h"]).select("_k", "_e")
     return by_mail.unionByName(by_name).distinct().select(F.col("_k").alias(key), F.col("_e").alias(entity))
@@ -105,16 +106,12 @@ def event_tracks(events: DataFrame, entities: DataFrame, *, key: str, scope: str
 
 def timeline_places(markers: DataFrame, *, scope: str, key: str, date: str = "marker_date", out: str = "place") -> DataFrame:
     """Markers with their place from 1 in the order of a timeline: date, kind, title; equal ones by key. A missing date comes first."""
-    from docketry.runtime import rank_in_group
-
     keyed = markers.withColumn("_d", F.coalesce(date, F.lit("")))
     return rank_in_group(keyed, [scope], ["_d", "kind", "title", key], out).drop("_d")
 
 
 def message_places(messages: DataFrame, *, scope: str, key: str, date: str, ident: str, out: str = "place") -> DataFrame:
     """Messages with their place from 1 in the order of a correspondence manifest: date, then identifier, both empty where missing; equal ones by key."""
-    from docketry.runtime import rank_in_group
-
     keyed = messages.withColumns({"_d": F.coalesce(date, F.lit("")), "_i": F.coalesce(ident, F.lit(""))})
     return rank_in_group(keyed, [scope], ["_d", "_i", key], out).drop("_d", "_i")
 
