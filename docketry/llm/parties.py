@@ -7,6 +7,7 @@ import re
 import unicodedata
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,16 +48,25 @@ def qgrams(word: str, q: int = Q) -> set[str]:
     return {padded[i : i + q] for i in range(len(padded) - q + 1)}
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=1)
+def _rows() -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the hash functions, one for each row of each band."""
+    import xxhash
+
+    n = bands_for() * ROWS
+    draw = lambda what: np.array([xxhash.xxh64_intdigest(f"{what}{i}") for i in range(n)], dtype=np.uint64)
+    return draw("factor") | np.uint64(1), draw("summand")
+
+
+@lru_cache(maxsize=200_000)
 def band_keys(word: str) -> tuple[str, ...]:
+    """MinHash bands of a word's padded q-grams: each gram is hashed once, the rows' functions are linear in that."""
     import xxhash
 
-    grams = qgrams(word)
-    keys = []
-    for b in range(bands_for()):
-        mins = [min(xxhash.xxh32_intdigest(g, seed=b * ROWS + r) for g in grams) for r in range(ROWS)]
-        keys.append(f"{b}:{mins[0]:x}:{mins[1]:x}")
-    return tuple(keys)
+    grams = np.array([xxhash.xxh64_intdigest(g) for g in qgrams(word)], dtype=np.uint64)
+    factor, summand = _rows()
+    least = ((grams[:, None] * factor + summand) >> np.uint64(32)).min(axis=0).tolist()
+    return tuple(f"{b}:" + ":".join(f"{v:x}" for v in least[b * ROWS : (b + 1) * ROWS]) for b in range(len(least) // ROWS))
 
 
 @lru_cache(maxsize=200_000)
@@ -64,6 +74,12 @@ def edits(a: str, b: str) -> int:
     """Edit distance with swaps of neighbours as one edit."""
     if a == b:
         return 0
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -94,15 +110,38 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...], like=likeness) -> float:
     return min(one(a, b), one(b, a))
 
 
-@lru_cache(maxsize=20_000)
+def _shortened(word: str) -> set[str]:
+    """The word, and the word without any one of its letters."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+@lru_cache(maxsize=2)
+def _neighbours(which: str) -> dict[str, list[str]]:
+    """Known words under each of their shortened forms: two words one edit apart have one in common."""
+    out: dict[str, list[str]] = {}
+    for w in (*GIVEN, *NICKNAMES) if which == "given" else ORG_WORDS:
+        if len(w) >= (3 if which == "given" else 5):
+            for form in _shortened(w):
+                out.setdefault(form, []).append(w)
+    return out
+
+
+def _one_edit(word: str, which: str) -> list[str]:
+    """Known words at most one edit away."""
+    known = _neighbours(which)
+    met = dict.fromkeys(w for form in _shortened(word) for w in known.get(form, ()))
+    return [w for w in met if abs(len(w) - len(word)) <= 1 and edits(w, word) <= 1]
+
+
+@lru_cache(maxsize=200_000)
 def given_of(word: str) -> str:
     """The given name a word stands for: itself, its long form, or the nearest known name one edit away."""
     if word in NICKNAMES:
         return NICKNAMES[word]
     if word in GIVEN or len(word) < 4:
         return word
-    near = [g for g in (*GIVEN, *NICKNAMES) if abs(len(g) - len(word)) <= 1 and len(g) >= 3 and edits(g, word) <= 1]
-    return NICKNAMES.get(near[0], near[0]) if len({NICKNAMES.get(g, g) for g in near}) == 1 else word
+    long = {NICKNAMES.get(g, g) for g in _one_edit(word, "given")}
+    return long.pop() if len(long) == 1 else word
 
 
 #: Monge-Elkan similarity from which the names of two people, or the telling words of two organisations, may be one.
@@ -125,15 +164,12 @@ def person_words(p: dict) -> tuple[str, ...]:
     return tuple(w for w in (*re.split(r"[ -]", p["last"]), p["first"]) if w)
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=200_000)
 def org_word(word: str) -> str | None:
     if word in ORG_WORDS:
         return ORG_WORDS[word]
-    if len(word) >= 5:
-        for w, full in ORG_WORDS.items():
-            if len(w) >= 5 and abs(len(w) - len(word)) <= 1 and edits(w, word) <= 1:
-                return full
-    return None
+    near = _one_edit(word, "org") if len(word) >= 5 else []
+    return ORG_WORDS[min(near, key=list(ORG_WORDS).index)] if near else None
 
 
 def _spelled(text: str) -> list[str]:
@@ -292,14 +328,14 @@ def compare(p: dict, q: dict) -> int:
             return _NO
         if not _cased(a) or not _cased(b):
             return _SAME if a == b else _CONFLICT
-        alike = monge_elkan(person_words(p), person_words(q), part_likeness) >= PERSON_ALIKE
+        alike = lambda: monge_elkan(person_words(p), person_words(q), part_likeness) >= PERSON_ALIKE
         if len(a) == 1 or len(b) == 1:
             full, one = (b, a) if len(a) == 1 else (a, b)
             if part_likeness(full, one) > 0:
-                return (2 if p["mid"] and q["mid"] else _MAYBE) if alike else _NO
+                return (2 if p["mid"] and q["mid"] else _MAYBE) if alike() else _NO
             return _CONFLICT
         two_known = given_of(a) != given_of(b) and given_of(a) in GIVEN and given_of(b) in GIVEN
-        if alike and (edits(a, b) <= 1 or part_likeness(a, b) >= 0.72 and not two_known):
+        if (edits(a, b) <= 1 or part_likeness(a, b) >= 0.72 and not two_known) and alike():
             return _SAME if not (bool(p["suf"]) ^ bool(q["suf"])) else 2
         return _CONFLICT
     if p["k"] == "o" and q["k"] == "o":

@@ -47,10 +47,9 @@ def test_parties_of_a_case(spark):
 
 
 def test_clusters_of_a_long_chain(spark):
-
-    n = 66  # falling strengths: one centre and its neighbours a round, 33 rounds
+    n = 100  # falling strengths: one centre and its neighbours a round, 50 rounds
     nodes = spark.createDataFrame([("c", i) for i in range(n)], "case_id string, id bigint").coalesce(1)
-    edges = spark.createDataFrame([("c", i, i + 1, 5.0 - i / 100) for i in range(n - 1)], "case_id string, a bigint, b bigint, s double").coalesce(1)
+    edges = spark.createDataFrame([("c", i, i + 1, 9.0 - i / 100) for i in range(n - 1)], "case_id string, a bigint, b bigint, s double").coalesce(1)
     got = {r.id: r.center for r in star_clusters(nodes, edges).collect()}
     assert got == {0: 1, **{i: i if i % 2 else i - 1 for i in range(1, n)}}
 
@@ -70,13 +69,6 @@ def test_names_that_parse_poorly():
     assert parse("whiterridge kd") == parse("Whiterridge KD") == parse("WHITERRIDGE KD") == parse("Whiterridge, K. D.")
 
 
-def test_a_long_path_of_rising_weights_keeps_all_nodes(spark):
-    nodes = spark.createDataFrame([("c", i) for i in range(100)], "case_id string, id bigint")
-    edges = spark.createDataFrame([("c", i, i + 1, 2.0 + i / 100) for i in range(99)], "case_id string, a bigint, b bigint, s double")
-    got = star_clusters(nodes, edges).collect()
-    assert sorted(r.id for r in got) == list(range(100)) and all(abs(r.id - r.center) <= 1 for r in got)
-
-
 def test_copies_and_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(parties, "HOT", 20)
     rows = [(i, "c1", f"e{i}", "neutral", None, ["Jonathan Merriweather"] if i % 3 else ["Jon Meriweather"], None) for i in range(60)] + [(100, "c1", "x", None, None, ["Merriweather"], None), (101, "c1", "y", None, None, ["Merriweather"], None)]
