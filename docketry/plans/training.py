@@ -40,22 +40,22 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p2_found(spark, folder).groupBy("case_id", "snapshot_no", "change_kind").agg(F.count("*").alias("files"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+def _deliveries_of(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    """Rows of both tables under one key (src, row_id), their identifiers told apart by table, so that one pass over storage serves both."""
     parts = [
-        superfluous_copies(table(spark, folder, name).select(key, "message_id", "delivered_at"), key=key, ident=message_identifier(F.col("message_id")), delivered="delivered_at")
-        .select(F.lit(name).alias("src"), F.col(key).alias("row_id"))
+        table(spark, folder, name).select(F.struct(F.lit(name).alias("src"), F.col(key).alias("row_id")).alias("key"), F.concat(F.lit(name + "\t"), message_identifier(F.col("message_id"))).alias("ident"), "delivered_at", *extra)
         for name, key in MESSAGES
     ]
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return superfluous_copies(_deliveries_of(spark, folder), key="key", ident=F.col("ident"), delivered="delivered_at").select("key.src", "key.row_id")
+
+
 def p5_once(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [
-        deliver_once(table(spark, folder, name).select(key, "message_id", "delivered_at", "case_id"), key=key, ident=message_identifier(F.col("message_id")), delivered="delivered_at")
-        .select(F.lit(name).alias("src"), F.col(key).alias("row_id"), "case_id", message_identifier(F.col("message_id")).alias("message_id"))
-        for name, key in MESSAGES
-    ]
-    return parts[0].unionByName(parts[1])
+    once = deliver_once(_deliveries_of(spark, folder, "case_id"), key="key", ident=F.col("ident"), delivered="delivered_at")
+    return once.select("key.src", "key.row_id", "case_id", F.substring_index("ident", "\t", -1).alias("message_id"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_once": p5_once}
